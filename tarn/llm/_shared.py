@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import tarn
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.session import configure
 
+#: Functions for Python workers travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(tarn)
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words, as a Java pattern.
 SPACES = "[\\x20\\x09-\\x0D]+"
