@@ -17,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import words_of
+from tarn.llm._shared import stored, words_of
+
+#: Up to so many strata, of six numbers each, the cutoffs are broadcast; beyond, they are joined by shuffling.
+BROADCAST_STRATA = 10_000
 
 #: Rules and their cutoffs, ascending; a document is rejected where its measure is above the cutoff.
 GRID: dict[str, tuple[float, ...]] = {
@@ -124,21 +127,30 @@ def cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
-    """docs, measured, with base_failed and kept. Cutoffs are learned from the labelled documents.
+    """doc_id, rid (hash of doc_id and text), stratum, the measures, base_failed, rejected_by_rule and kept, for each row of docs.
 
-    Ties and repeated rows each get their own verdict; a doc_id with several labels counts once for each. The cutoffs
-    (six rules for each stratum) come back as one small map for each stratum and are joined to the documents; strata
-    are few by nature, and the join falls back to a shuffle where they are not.
+    Texts are read once; only measures are stored, joined to labels and judged. Ties and repeated rows each get their
+    own verdict; a doc_id with several labels counts once for each. Null text has no words and fails the base rule.
     """
-    column = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None).cast("string")
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).where("_id IS NOT NULL AND quality IS NOT NULL")
-    seen = docs.select(F.col("doc_id"), "text", column.cast("string").alias("_stratum"))
-    known = measure(seen.join(marks, seen.doc_id == marks._id)).select(F.col("_row._stratum").alias("stratum"), F.col("_row.quality").alias("quality"), *GRID)
-    limits = cutoffs(known, risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
-    all_ = measure(docs.withColumn("_stratum", column.cast("string")))
-    joined = all_.join(limits, all_["_row._stratum"].eqNullSafe(limits["stratum"]), "left")
+    column = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None)
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), column.cast("string").alias("stratum"), "text")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measured = stored(measure(own).select("_row.doc_id", "_row.rid", "_row.stratum", *counts, *GRID), "measures")
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    limits = cutoffs(measured.join(marks, "doc_id"), risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
+    limits = stored(limits, "cutoffs")
+    if limits.count() <= BROADCAST_STRATA:
+        limits = F.broadcast(limits)
+    joined = measured.join(limits.withColumnRenamed("stratum", "_of"), F.col("stratum").eqNullSafe(F.col("_of")), "left")
     over = F.lit(False)
     for rule in GRID:
         over = over | F.coalesce(F.col(rule) > F.col("limits")[rule], F.lit(False))
     joined = joined.withColumn("base_failed", base_failed()).withColumn("rejected_by_rule", over)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected_by_rule")).drop("limits", "stratum")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected_by_rule")).drop("limits", "_of")
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns. A null doc_id is matched as a value."""
+    gone = judge(docs, labels, stratum, risk).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid")).distinct()
+    rid = F.xxhash64(docs["doc_id"], docs["text"])
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (rid == gone["_rid"]), "left_anti")
