@@ -4,8 +4,8 @@
 2. Benchmark passages become TF-IDF rows; a randomised SVD, whose two passes over the rows are distributed, gives the
    latent space. Only directions that benchmark passages span can add to a cosine with one of them, so the space is
    fitted on exactly those rows, in blocks of items.
-3. Every window of every document that could reach the cosine (its energy in the benchmark's words bounds it) is
-   projected and compared with all items of the block whose length it has.
+3. Every window of every document is compared with all items of the block, each at windows of about its own length.
+   What a word adds to the product of projections is looked up, so windows are differences of running sums.
 4. Candidates are confirmed on words: a longest common subsequence over most of the item is a leak; one over about half
    of it is a paraphrase, and a leak if the item's answer (its last sentence, or last words) is there as well.
 """
@@ -27,7 +27,7 @@ from tarn.llm._shared import stored
 #: Hashed words: a table of so many document frequencies goes to every task, whatever the corpus.
 FEATURES = 1 << 18
 #: Items that share a latent space and a pass over the documents.
-BLOCK_ITEMS = 1000
+BLOCK_ITEMS = 400
 REMEMBERED = 400_000
 _SEPARATE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -36,7 +36,7 @@ _SEPARATE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b
 class Limits:
     """cosine: of candidates; leak, paraphrase, answer: least shares of words in common order; step: words between windows."""
 
-    cosine: float = 0.35
+    cosine: float = 0.4
     leak: float = 0.7
     paraphrase: float = 0.5
     answer: float = 0.8
@@ -160,55 +160,85 @@ def _searcher(items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Features()
-        column = np.full(FEATURES, -1, np.int32)
+        column = np.full(FEATURES, len(vocabulary), np.int32)
         column[vocabulary] = np.arange(len(vocabulary))
         energy = idf.astype(np.float64) ** 2
+        step = limits.step
         groups: dict[int, list[int]] = {}
         latent = np.zeros((len(items), space.shape[1]), np.float32)
         for k, (_, own, _) in enumerate(items):
             f, w = _weights(_features(own, known), idf)
-            norm = np.sqrt((w**2).sum())
-            latent[k] = (w.astype(np.float32) @ space[column[f]]) / norm
-            groups.setdefault((-(-len(own) // limits.step) + 1) * limits.step, []).append(k)
-
-        def search(found: list[bytes]) -> dict[int, tuple]:
-            at = _features(found, known)
-            col = column[at]
-            all_ = np.concatenate([[0.0], np.cumsum(energy[at])])
-            own = np.concatenate([[0.0], np.cumsum(np.where(col >= 0, energy[at], 0.0))])
-            best: dict[int, tuple] = {}
+            latent[k] = (w.astype(np.float32) @ space[column[f]]) / np.sqrt((w**2).sum())
+            groups.setdefault(-(-len(own) // step) + 1, []).append(k)
+        # What one occurrence of a word adds to the product with each item; the last row is for all other words.
+        adds = np.vstack([(idf[vocabulary, None] * space) @ latent.T, np.zeros((1, len(items)), np.float32)])
+
+        def search(texts: list[list[bytes]]) -> Iterator[tuple[int, int, tuple]]:
+            """(number of the text, item, finding); texts are padded to whole cells of `step` words and gone through together."""
+            cells = np.array([-(-len(t) // step) for t in texts])
+            first = np.concatenate([[0], np.cumsum(cells)])
+            n_cells, col = int(first[-1]), np.full(int(first[-1]) * step, len(vocabulary), np.int32)
+            spent = np.zeros(n_cells * step)
+            for t, c in zip(texts, first, strict=False):
+                at = _features(t, known)
+                spent[c * step : c * step + len(at)] = energy[at]
+                col[c * step : c * step + len(at)] = column[at]
+            spent = np.concatenate([[0.0], np.cumsum(spent.reshape(-1, step).sum(axis=1))])
+            col = col.reshape(-1, step)
+            sums = np.zeros((n_cells + 1, len(items)))
+            for c in range(0, n_cells, 128):
+                sums[c + 1 : c + 129] = adds[col[c : c + 128]].sum(axis=1)
+            np.cumsum(sums, axis=0, out=sums)
+            owner = np.repeat(np.arange(len(texts)), cells)
+            last, starts = first[1:][owner], np.arange(n_cells)
+            best: dict[tuple[int, int], tuple] = {}
             for size, members in groups.items():
-                starts = np.arange(0, max(1, len(found) - size + limits.step), limits.step)
-                ends = np.minimum(starts + size, len(found))
-                whole = all_[ends] - all_[starts]
-                # A cosine is at most the root of the share of the window's energy that lies in words of the benchmark.
-                for k in np.flatnonzero((own[ends] - own[starts] >= limits.cosine**2 * whole) & (whole > 0)):
-                    s, e = int(starts[k]), int(ends[k])
-                    c = col[s:e]
-                    c = c[c >= 0]
-                    z = idf[vocabulary[c]] @ space[c]
-                    cosines = latent[members] @ z / np.sqrt(whole[k])
-                    for m in np.flatnonzero(cosines >= limits.cosine):
-                        item = members[m]
-                        _, mine, answer = items[item]
-                        lo, hi = max(0, s - limits.step), min(len(found), e + limits.step)
-                        lcs = common_subsequence(mine, found[lo:hi])
-                        if lcs < limits.paraphrase * len(mine):
-                            continue
-                        said = common_subsequence(answer, found[lo:hi])
-                        if lcs >= limits.leak * len(mine):
-                            kind = "leak"
-                        elif said >= limits.answer * len(answer):
-                            kind = "paraphrase"
-                        else:
-                            continue
-                        row = (float(min(cosines[m], 1.0)), lcs, len(mine), said, len(answer), lo, kind)
-                        if item not in best or (row[1], row[3], row[0]) > (best[item][1], best[item][3], best[item][0]):
-                            best[item] = row
-            return best
+                ends = np.minimum(starts + size, last)
+                scale = 1.0 / np.sqrt(np.maximum(spent[ends] - spent[starts], 1e-9))
+                cosines = (sums[ends] - sums[:-1])[:, members] * scale[:, None]
+                close, which = np.nonzero(cosines >= limits.cosine)
+                for m in np.unique(which):
+                    mine = close[which == m]
+                    item = members[m]
+                    # Of windows that overlap, the closest stands for all.
+                    for near in np.split(mine, np.flatnonzero((np.diff(mine) > size) | (np.diff(owner[mine]) > 0)) + 1):
+                        w = int(near[np.argmax(cosines[near, m])])
+                        k = int(owner[w])
+                        place = w - int(first[k])
+                        lo, hi = max(0, (place - 1) * step), (place + size + 1) * step
+                        row = confirm(item, float(cosines[w, m]), texts[k][lo:hi], lo)
+                        old = best.get((k, item))
+                        if row and (not old or (row[1], row[3], row[0]) > (old[1], old[3], old[0])):
+                            best[k, item] = row
+            for (k, item), row in best.items():
+                yield k, item, row
+
+        def confirm(item: int, cosine: float, region: list[bytes], place: int) -> tuple | None:
+            _, mine, answer = items[item]
+            lcs = common_subsequence(mine, region)
+            if lcs < limits.paraphrase * len(mine):
+                return None
+            said = common_subsequence(answer, region)
+            if lcs >= limits.leak * len(mine):
+                kind = "leak"
+            elif said >= limits.answer * len(answer):
+                kind = "paraphrase"
+            else:
+                return None
+            return min(cosine, 1.0), lcs, len(mine), said, len(answer), place, kind
 
         for batch in batches:
-            rows = [(doc_id, items[k][0], *row) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if (found := words(text.as_py())) for k, row in search(found).items()]
+            rows: list[tuple] = []
+            ids, texts, held = [], [], 0
+            for doc_id, text in zip([*batch.column(0).to_pylist(), None], [*batch.column(1), None], strict=True):
+                found = words(text.as_py()) if text is not None else []
+                if found:
+                    ids.append(doc_id)
+                    texts.append(found)
+                    held += len(found)
+                if texts and (held > 15_000 or text is None):
+                    rows += [(ids[k], items[item][0], *row) for k, item, row in search(texts)]
+                    ids, texts, held = [], [], 0
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
