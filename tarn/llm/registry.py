@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, license_scan, line_dedup, minhash, packing, quality_rules, suffix_dedup
+from tarn.llm import decontaminate, license_scan, line_dedup, minhash, packing, quality_rules, suffix_dedup, warc
 from tarn.session import table
 
 
@@ -33,6 +33,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
@@ -49,7 +54,16 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op7_warc": op7_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS head FROM p GROUP BY payload_digest)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes < 100 OR page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN payload_bytes < 100 OR page_id = head THEN NULL ELSE head END AS refers_to
+        FROM p JOIN f USING (payload_digest)""",
+}
