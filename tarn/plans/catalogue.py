@@ -1,35 +1,7 @@
-"""The registered queries: Spark SQL and the DuckDB text that must give the same rows."""
+"""All registered queries of the engine."""
 
-from __future__ import annotations
+from tarn.functions import arrays, dates, json, maths, strings
+from tarn.operators import aggregates, filters, joins, ordering, scans, sets, windows
+from tarn.plans.registry import ORACLE_SQL, QUERIES
 
-import re
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tarn.session import table
-
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Spark SQL over the tables that the text names, passed as DataFrames rather than global views."""
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-    marked = re.sub(rf"\b(FROM|JOIN|,)(\s+)({'|'.join(TABLES)})\b", r"\1\2{\3}", text)
-    return spark.sql(marked, **{t: table(spark, sf_dir, t) for t in used if f"{{{t}}}" in marked})
-
-
-def register(name: str, spark_sql: str, oracle: str | None = None) -> None:
-    """oracle: the same text where both dialects agree."""
-    QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, spark_sql)
-    ORACLE_SQL[name] = oracle or spark_sql
-
-
-register(
-    "flagship",
-    """SELECT c.c_name AS c_name, count(o.o_orderkey) AS order_count
-       FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
-       WHERE c.c_name LIKE 'Customer%' GROUP BY c.c_name ORDER BY order_count DESC, c_name""",
-)
+__all__ = ["ORACLE_SQL", "QUERIES", "aggregates", "arrays", "dates", "filters", "joins", "json", "maths", "ordering", "scans", "sets", "strings", "windows"]
