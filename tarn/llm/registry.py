@@ -71,7 +71,40 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
+#: DuckDB patterns: what words are made of, and A-Z to a-z.
+_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\<\[>]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + 15 AS shown FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(shown) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS rewrites
+        FROM e GROUP BY conv_id""",
+    "op4_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORD}') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END)) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, m.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) m ON r.root = m.a)
+        SELECT r.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op10_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        n AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{_WORD}')) AS w FROM d),
+        k AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, ls, w FROM n WHERE len(w) >= 3),
+        f AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY ls[w[i]] || chr(10) || ls[w[i + 1]] || chr(10) || ls[w[i + 2]] ORDER BY doc_id, i) AS place FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest([w[i], w[i + 1], w[i + 2]]) AS line FROM f WHERE place > 1),
+        a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM n),
+        kept AS (SELECT a.doc_id, string_agg(t, chr(10) ORDER BY line) AS text FROM a ANTI JOIN g ON a.doc_id = g.doc_id AND a.line = g.line GROUP BY a.doc_id)
+        SELECT n.doc_id, CAST(len(w) AS BIGINT) AS n_lines, coalesce(x.c, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id) x USING (doc_id)""",
     "op7_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS head FROM p GROUP BY payload_digest)
