@@ -107,7 +107,9 @@ class Database:
 
     def _parser(self, sql: str, params: Any, catalog: dict[str, Any]) -> Statements:
         names = {n: n for n in self.views} | {n.lower(): n for n in catalog["tables"]} | {n: n for n in SYSTEM}
-        return Statements(sql, params, names)
+        parser = Statements(sql, params, names)
+        parser.oids = {n.lower(): t["oid"] for n, t in catalog["tables"].items()} | {s: _OIDS.get(s, 20000 + i) for i, s in enumerate(catalog["schemas"])} | {n: 30000 + i for i, n in enumerate(catalog["types"])}
+        return parser
 
     def _all(self, sql: str, params: Any, db: str) -> list[Result]:
         with self.lock:
@@ -167,10 +169,14 @@ class Database:
 
     def _run(self, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
         """Spark SQL whose {name} stand for DataFrames."""
-        keys = {name: f"t{i}_" for i, name in enumerate(sorted(frames))}
+        keys = {name: f"t{i}_" for i, name in enumerate(sorted(frames)) if "{" + name + "}" in sql}
+        if not keys:
+            return self.spark.sql(sql)
         for name, key in keys.items():
-            sql = sql.replace("{" + name + "}", "{" + key + "}")
-        return self.spark.sql(sql, **{keys[name]: df for name, df in frames.items() if "{" + keys[name] + "}" in sql})
+            sql = sql.replace("{" + name + "}", f"\0{key}\1")
+        # All other braces stand in literals.
+        sql = sql.replace("{", "{{").replace("}", "}}").replace("\0", "{").replace("\1", "}")
+        return self.spark.sql(sql, **{key: frames[name] for name, key in keys.items()})
 
     def _rounds(self, name: str, columns: str, base: str, step: str, frames: dict[str, DataFrame]) -> DataFrame:
         """WITH RECURSIVE ... UNION: each round sees the rows that the last one added, until none is new."""
