@@ -5,25 +5,27 @@ the bucket of 2m bytes at p follows from those of m bytes at p and at p + m, so
 and those of 32 for the 50 (LENGTH) that count. Identifiers are 64-bit mixes instead of global ranks, so that every task
 names equal strings alike without a global sort; Spark sorts on them.
 
-Not every suffix is shuffled. The least 16-byte identifier of a window of LENGTH bytes is its pointer; successive windows
-share pointers, and such a run of windows is one row. (1) Pointers of a single document are dropped. (2) Runs are
-refined by the identifiers of their first and last window; a run that an earlier document has goes as a whole. (3) Where
-different runs share a pointer, the first occurrence of each is opened into windows, which are refined by their own
-50-byte identifiers. Equal windows have equal pointers, so nothing is missed.
+Not every suffix is shuffled. The least 16-byte identifier of a window of LENGTH bytes (the leftmost of equals) is its
+pointer; successive windows share a pointer, and such a run of windows is one row. (1) Pointers of a single document are
+dropped. (2) Runs are refined by the identifiers of their first and last window; a run that an earlier document has goes
+as a whole. (3) Where different runs share a pointer, the first occurrence of each is refined by the 32-byte identifiers
+that end with and begin at the pointer: every window holds one of the two. (4) Runs that still share one are opened into
+windows, which are refined by their 50-byte identifiers. Equal windows have equal pointers at equal offsets, so nothing
+is missed.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import stored
+from tarn.llm._shared import release, stored
 
 LENGTH = 50
 _POINTER = 16
@@ -43,40 +45,54 @@ def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pointers(data: bytes, with_windows: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Of each window of LENGTH bytes: its pointer and, if asked for, its own identifier."""
-    b = _BYTES[np.frombuffer(data, np.uint8)]
-    for step in (1, 2, 4, 8):
-        b = _refine(b[:-step], b[step:])
-    whole = None
-    if with_windows:
-        c = _refine(b[:-16], b[16:])
-        whole = _refine(c[: len(c) - (LENGTH - 32)], c[LENGTH - 32 :])
-    least = b
-    for step in (1, 2, 4, 8, 16):
-        least = np.minimum(least[:-step], least[step:])
-    rest = LENGTH - _POINTER + 1 - 32
-    return np.minimum(least[:-rest], least[rest:]), whole
+_PLACE = np.uint64((1 << 21) - 1)
 
 
-def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
-    for at in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
-        yield at, data[at : at + CHUNK + LENGTH - 1]
+@dataclass
+class _Suffixes:
+    """Pointers of the windows of some bytes. runs: first window of each run, and one past the last run's last window."""
+
+    b16: np.ndarray
+    place: np.ndarray
+    runs: np.ndarray
 
+    @classmethod
+    def of(cls, data: bytes) -> _Suffixes:
+        b = _BYTES[np.frombuffer(data, np.uint8)]
+        for step in (1, 2, 4, 8):
+            b = _refine(b[:-step], b[step:])
+        least = (b & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
+        for step in (1, 2, 4, 8, 16):
+            least = np.minimum(least[:-step], least[step:])
+        rest = LENGTH - _POINTER + 1 - 32
+        place = (np.minimum(least[:-rest], least[rest:]) & _PLACE).astype(np.int64)
+        return cls(b, place, np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]]))
 
-def _starts(least: np.ndarray) -> np.ndarray:
-    """First windows of the runs: of one pointer each, and of at most LENGTH windows, so that two windows cover a run."""
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    sizes = np.diff(np.append(starts, len(least)))
-    if sizes.max() > LENGTH:
-        within = np.arange(len(least)) - np.repeat(starts, sizes)
-        starts = np.flatnonzero(within % LENGTH == 0)
-    return starts
+    def pointers(self) -> np.ndarray:
+        return self.b16[self.place[self.runs[:-1]]]
 
+    def b32(self) -> np.ndarray:
+        return _refine(self.b16[:-16], self.b16[16:])
 
-def _run_ids(starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    last = np.append(starts[1:], len(whole)) - 1
-    return _refine(_refine(whole[starts], (last - starts).astype(np.uint64) * _K3), whole[last])
+    def windows(self) -> np.ndarray:
+        b32 = self.b32()
+        return _refine(b32[: len(b32) - (LENGTH - 32)], b32[LENGTH - 32 :])
+
+    def run_ids(self, windows: np.ndarray) -> np.ndarray:
+        first, last = self.runs[:-1], self.runs[1:] - 1
+        return _refine(_refine(windows[first], (last - first).astype(np.uint64) * _K3), windows[last])
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: whether the 16 bytes before its pointer are in it, and the 32-byte identifiers left and right (0 past an end)."""
+        b32, at = self.b32(), self.place
+        left = np.where(at >= 16, b32[np.maximum(at - 16, 0)], np.uint64(0))
+        right = np.where(at < len(b32), b32[np.minimum(at, len(b32) - 1)], np.uint64(0))
+        return at - np.arange(len(at)) >= 16, left, right
+
+
+def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
+    for at in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
+        yield at, data[at : at + CHUNK + LENGTH - 1]
 
 
 def _bytes(text: str | None) -> bytes:
@@ -96,12 +112,11 @@ def _runs(with_runs: bool):
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for _, data in _chunks(_bytes(text.as_py())):
-                    least, whole = _pointers(data, with_runs)
-                    starts = _starts(least)
-                    found = [least[starts], _run_ids(starts, whole)] if with_runs else [np.unique(least[starts])]
-                    for c, x in zip(columns, [*found, np.full(len(found[0]), doc_id, np.int64)], strict=True):
-                        c.append(x)
-                    held += len(starts)
+                    x = _Suffixes.of(data)
+                    found = [x.pointers(), x.run_ids(x.windows())] if with_runs else [np.unique(x.pointers())]
+                    for c, v in zip(columns, [*found, np.full(len(found[0]), doc_id, np.int64)], strict=True):
+                        c.append(v)
+                    held += len(found[0])
                 if held > 200_000:
                     yield _batch(columns, names)
                     columns, held = [[] for _ in names], 0
@@ -110,28 +125,36 @@ def _runs(with_runs: bool):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, runs) -> (ptr, win, doc_id): the windows of the runs that are to be opened."""
-    names = ["ptr", "win", "doc_id"]
-    for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in names]
-        held = 0
-        for doc_id, text, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            opened = runs.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for _, data in _chunks(_bytes(text.as_py())):
-                least, whole = _pointers(data, True)
-                starts = _starts(least)
-                sizes = np.diff(np.append(starts, len(least)))
-                chosen = np.repeat(np.isin(_run_ids(starts, whole), opened), sizes)
-                _, first = np.unique(whole[chosen], return_index=True)
-                columns[0].append(least[chosen][first])
-                columns[1].append(whole[chosen][first])
-                columns[2].append(np.full(len(first), doc_id, np.int64))
-                held += len(first)
-            if held > 200_000:
-                yield _batch(columns, names)
-                columns, held = [[] for _ in names], 0
-        yield _batch(columns, names)
+def _opened(whole: bool):
+    """(doc_id, text, runs) -> (side, doc_id) of the runs named, or with whole (doc_id, text, runs, sides) -> (side, win, doc_id) of their windows with one of the sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["side", "win", "doc_id"] if whole else ["side", "doc_id"]
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
+            for doc_id, text, *ids in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                wanted, sides = [i.values.to_numpy(zero_copy_only=False).view(np.uint64) for i in (ids[0], ids[-1])]
+                for _, data in _chunks(_bytes(text.as_py())):
+                    x = _Suffixes.of(data)
+                    before, left, right = x.sides()
+                    side, windows = np.where(before, left, right), x.windows()
+                    chosen = np.repeat(np.isin(x.run_ids(windows), wanted), np.diff(x.runs))
+                    if whole:
+                        chosen &= np.isin(side, sides)
+                        win, first = np.unique(windows[chosen], return_index=True)
+                        found = [side[chosen][first], win]
+                    else:
+                        found = [np.unique(side[chosen])]
+                    for c, v in zip(columns, [*found, np.full(len(found[0]), doc_id, np.int64)], strict=True):
+                        c.append(v)
+                    held += len(found[0])
+                if held > 200_000:
+                    yield _batch(columns, names)
+                    columns, held = [[] for _ in names], 0
+            yield _batch(columns, names)
+
+    return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +169,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bad_runs, bad_wins = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.empty(0, np.uint64) for x in (runs, wins)]
             edge = np.zeros(len(data) + 1, np.int32)
             for at, chunk in _chunks(data):
-                least, whole = _pointers(chunk, True)
-                starts = _starts(least)
-                bad = np.repeat(np.isin(_run_ids(starts, whole), bad_runs), np.diff(np.append(starts, len(least))))
+                x = _Suffixes.of(chunk)
+                windows = x.windows()
+                bad = np.repeat(np.isin(x.run_ids(windows), bad_runs), np.diff(x.runs))
                 if len(bad_wins):
-                    bad |= np.isin(whole, bad_wins)
+                    bad |= np.isin(windows, bad_wins)
                 p = np.flatnonzero(bad) + at
                 edge[p] += 1
                 edge[p + LENGTH] -= 1
@@ -163,12 +186,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept_sha256"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, starts, ends (of the maximal removed runs, in bytes) and kept_sha256 for each row of docs.
 
@@ -181,21 +198,25 @@ def cut(docs: DataFrame) -> DataFrame:
     real = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     pointers = real.mapInArrow(_runs(False), "ptr long, doc_id long")
     shared = stored(pointers.groupBy("ptr").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ptr"), "pointers")
-    _release(spark)
+    release(spark)
     runs = stored(real.mapInArrow(_runs(True), "ptr long, run long, doc_id long").join(shared, "ptr"), "runs")
-    _release(spark)
+    release(spark)
     first = stored(runs.groupBy("ptr", "run").agg(F.min("doc_id").alias("lo")), "first-runs")
     whole = runs.join(first, ["ptr", "run"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
     whole = stored(whole, "whole-runs")
     several = first.groupBy("ptr").agg(F.count("*").alias("n")).where("n > 1").select("ptr")
-    opened = first.join(several, "ptr").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_set("run").alias("runs"))
-    opened = stored(opened, "opened-runs")
-    _release(spark)
-    windows = stored(real.join(opened, "doc_id").mapInArrow(_windows, "ptr long, win long, doc_id long"), "windows")
-    _release(spark)
-    early = windows.groupBy("ptr", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ptr", "win", "lo")
-    late = windows.join(early, ["ptr", "win"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("win").alias("wins"))
+    candidates = stored(first.join(several, "ptr").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_set("run").alias("runs")), "candidates")
+    release(spark)
+    sides = stored(real.join(candidates, "doc_id").mapInArrow(_opened(False), "side long, doc_id long"), "sides")
+    met = sides.groupBy("side").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("side")
+    opened = stored(sides.join(met, "side").groupBy("doc_id").agg(F.collect_set("side").alias("sides")), "opened")
+    release(spark)
+    windows = stored(real.join(candidates.join(opened, "doc_id"), "doc_id").mapInArrow(_opened(True), "side long, win long, doc_id long"), "windows")
+    release(spark)
+    early = stored(windows.groupBy("side", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("side", "win", "lo"), "early")
+    release(spark)
+    late = windows.join(early, ["side", "win"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("win").alias("wins"))
     gone = stored(whole.join(late, "doc_id", "full").select(F.col("doc_id").alias("_id"), "runs", "wins"), "gone")
-    _release(spark)
+    release(spark)
     marked = texts.join(gone, texts["doc_id"] == gone["_id"], "left").select("doc_id", "text", "runs", "wins")
     return marked.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string")
