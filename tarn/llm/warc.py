@@ -8,7 +8,6 @@ response and the others are revisits that refer to it.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import new_path
+from tarn.llm._shared import new_path, release
 
 LEAST = 100
 #: Fixed value: the profile that the WARC 1.1 standard names for revisits of equal payloads.
@@ -80,21 +79,13 @@ def write(pages: DataFrame, least: int = LEAST) -> Archive:
     original = (F.col("n") < least) | F.coalesce(F.col("page_id") == F.col("first"), F.col("first").isNull())
     typed = typed.withColumn("record_type", F.when(original, "response").otherwise("revisit"))
     typed.select("page_id", "digest", F.encode(_head(), "UTF-8").alias("head")).write.parquet(made.heads)
-    keyed = first.select("digest", F.col("first").alias("_first"))
-    same = named.select("page_id", "payload", F.col("digest").alias("_digest"))
-    once = same.join(keyed, (same["_digest"] == keyed["digest"]) & same["page_id"].eqNullSafe(keyed["_first"]))
-    # Rows that repeat a page_id with equal bytes are the only ones left twice; their bytes are looked at as digests.
-    once.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(made.payloads)
-    _release(spark)
+    # Copies of one payload meet in their map task first, so each task sends a payload once; no row needs to be found again.
+    named.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(made.payloads)
+    del at, named, facts, first, typed
+    release(spark)
     return made
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def records(spark: SparkSession, archive: Archive) -> DataFrame:
     """(digest, head, payload): the parts of every record; payload is null for revisits, whose block ends with the head."""
     heads = spark.read.parquet(archive.heads).withColumn("is_revisit", F.expr("decode(head, 'UTF-8') LIKE 'WARC/1.1\\r\\nWARC-Type: revisit%'"))
