@@ -19,15 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm._shared import stored
 
 #: Hashed words: a table of so many document frequencies goes to every task, whatever the corpus.
 FEATURES = 1 << 18
-#: Items that share a latent space and a pass over the documents.
+#: Most items that share a latent space and a pass over the documents; no more than the rank of the space, so it holds each exactly.
 BLOCK_ITEMS = 400
+#: Blocks that are numbered together in one task.
+SHARD_BLOCKS = 64
 REMEMBERED = 400_000
 _SEPARATE = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -245,19 +247,28 @@ def _searcher(items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray
     return run
 
 
+def _blocks(items: DataFrame, size: int) -> DataFrame:
+    """items with shard and block; no (shard, block) has more than size rows. Rows are numbered within a shard, since hashed blocks would be uneven."""
+    shards = -(-max(1, items.count()) // (size * SHARD_BLOCKS))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("item_id", "text"))
+    return dealt.withColumn("block", F.floor((place - 1) / size))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A row for each document and benchmark item that it holds: cosine, words in common order, place and kind.
 
     kind is leak or paraphrase; first_word is where the compared region begins. Null or empty texts hold nothing, and
     items without a word are in nothing. Repeated rows each report; a null doc_id or item_id stays null. The benchmark
-    is gone through in blocks of BLOCK_ITEMS items, each with one pass over the documents. Other columns are not looked at.
+    is gone through in blocks of at most BLOCK_ITEMS items, and no more than the rank, each with one pass over the
+    documents. Other columns are not looked at.
     """
     idf = inverse_frequencies(docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    numbered = stored(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-max(1, benchmark.count()) // BLOCK_ITEMS)))), "items")
+    numbered = stored(_blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL"), min(BLOCK_ITEMS, limits.rank)), "items")
     found = None
-    for block in [r["block"] for r in numbered.select("block").distinct().orderBy("block").collect()]:
-        chosen = numbered.where(F.col("block") == block)
+    for shard, block in numbered.select("shard", "block").distinct().orderBy("shard", "block").collect():
+        chosen = numbered.where((F.col("shard") == shard) & (F.col("block") == block))
         items = [(r["item_id"], own, answer_of(r["text"])) for r in chosen.orderBy("item_id", "text").collect() if (own := words(r["text"]))]
         if not items:
             continue

@@ -299,6 +299,20 @@ def test_decontamination(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {*planted.items(), (None, 0)}
 
 
+def test_decontamination_of_many_items(spark):
+    """More items than the rank of a latent space, half of them short and of common words: a verbatim copy of each is found."""
+    rng = random.Random(6)
+    common, rare = [f"c{k}" for k in range(150)], [f"r{k}" for k in range(4000)]
+    item = lambda i: " ".join(rng.choice(common) for _ in range(8)) if i % 2 else " ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(60))
+    items = [(i, item(i)) for i in range(390)]
+    around = lambda: " ".join(rng.choice(common) for _ in range(40))
+    docs = [(i, f"{around()} {t} {around()}") for i, t in items]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("kind = 'leak'")
+    assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    sizes = [r["count"] for r in decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), 7).groupBy("shard", "block").count().collect()]
+    assert max(sizes) <= 7 and sum(sizes) == 390
+
+
 def test_decontamination_of_nothing(spark, none, docs):
     benchmark = spark.createDataFrame([(1, "some words of a question")], "item_id long, text string")
     assert rows(decontaminate.leaks(none, benchmark)) == []
