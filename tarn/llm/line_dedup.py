@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import stored
+from tarn.llm._shared import stored, words_of
 
 RUN = 3
 
@@ -22,40 +22,53 @@ def _row_id() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, rid, i, fp, w1, w2): each window of lines with a word, its fingerprint and its identity; i counts such lines from 0."""
+def windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, rid, i, n, fp, w1, w2): each window of n lines with a word, its fingerprint and its identity; i counts such lines from 0.
+
+    Windows have `run` lines; with words also fewer, where these have at least so many words in all.
+    """
     lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
-    at = docs.select("doc_id", _row_id().alias("rid"), lines.alias("lines")).where(F.size("lines") >= run)
-    at = at.select("doc_id", "rid", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))).alias("h"))
-    part = lambda i: [F.get("h", i + k) for k in range(run)]
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("h") - run),
-        lambda i: F.struct(i.alias("i"), F.array_min(F.array(*[x["a"] for x in part(i)])).alias("fp"), F.xxhash64(*[x["a"] for x in part(i)]).alias("w1"), F.hash(*[x["b"] for x in part(i)]).alias("w2")),
-    )
+    at = docs.select("doc_id", _row_id().alias("rid"), lines.alias("lines")).where(F.size("lines") >= (run if words is None else 1))
+    count = (lambda x: F.lit(0)) if words is None else lambda x: F.size(words_of(x))
+    at = at.select("doc_id", "rid", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"), count(x).alias("words"))).alias("h"))
+
+    def of(n: int) -> Column:
+        part = lambda i: [F.get("h", i + k) for k in range(n)]
+        starts = F.sequence(F.lit(0), F.size("h") - n)
+        if n < run:
+            starts = F.filter(starts, lambda i: sum((x["words"] for x in part(i)), F.lit(0)) >= words)
+        each = F.transform(
+            starts,
+            lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_min(F.array(*[x["a"] for x in part(i)])).alias("fp"), F.xxhash64(*[x["a"] for x in part(i)]).alias("w1"), F.hash(*[x["b"] for x in part(i)]).alias("w2")),
+        )
+        return F.when(F.size("h") >= n, each)
+
+    each = of(run) if words is None else F.flatten(F.array_compact(F.array(*[of(n) for n in range(1, run + 1)])))
     return at.select("doc_id", "rid", F.explode(each).alias("w")).select("doc_id", "rid", "w.*")
 
 
-def deletions(docs: DataFrame, run: int = RUN) -> DataFrame:
+def deletions(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc_id, rid, gone): positions, among the lines with a word, of the lines to delete."""
-    every = stored(windows(docs, run), "windows")
+    every = stored(windows(docs, run, words), "windows")
     # A fingerprint is worth a look where two different windows or places have it; one row for each task and key is shuffled.
     place = F.struct("doc_id", "rid", "i")
-    shared = every.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select("fp")
-    matched = every.join(shared, "fp")
-    first = matched.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("w1", "w2", "first")
-    later = every.join(first, ["w1", "w2"]).where(place != F.col("first"))
-    return later.groupBy("doc_id", "rid").agg(F.collect_set("i").alias("starts")).select(
-        "doc_id", "rid", F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + run - 1)))).alias("gone")
+    shared = every.groupBy("n", "fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select("n", "fp")
+    matched = every.join(shared, ["n", "fp"])
+    first = matched.groupBy("n", "w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("n", "w1", "w2", "first")
+    later = every.join(first, ["n", "w1", "w2"]).where(place != F.col("first"))
+    return later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("i", "n")).alias("starts")).select(
+        "doc_id", "rid", F.array_distinct(F.flatten(F.transform("starts", lambda w: F.sequence(w["i"], w["i"] + w["n"] - 1)))).alias("gone")
     )
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """docs with text cut, and n_lines (lines with a word), n_removed (long) added; other columns as they were.
 
+    Later repeated runs of `run` lines or more go; with words also shorter ones of at least so many words in all.
     Null text: no lines, stays null. Rows that share doc_id and text are one document and come out alike; a null
     doc_id sorts first. Lines without a word are never deleted, and a document that loses nothing keeps its exact text.
     """
-    gone = deletions(docs, run).select(F.col("doc_id").alias("_doc_id"), F.col("rid").alias("_rid"), "gone")
+    gone = deletions(docs, run, words).select(F.col("doc_id").alias("_doc_id"), F.col("rid").alias("_rid"), "gone")
     rows = docs.withColumn("_rid_", _row_id())
     joined = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_doc_id"]) & (rows["_rid_"] == gone["_rid"]), "left").drop("_doc_id", "_rid", "_rid_")
     joined = joined.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))

@@ -458,5 +458,32 @@ def test_line_dedup(docs):
     assert found.columns == [*docs.columns, "n_lines", "n_removed"]
 
 
+def test_line_dedup_of_short_runs(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    long, a, b, short = line("l", 60), line("a", 26), line("b", 26), line("s", 20)
+    texts = [(0, f"{long}\nx\n{a}\n{b}\ny\n{short}"), (1, long), (2, f"u\n\n{long}\nv"), (3, f"{b}\nw\n{a}\n\n{b}\nz"), (4, f"{short}\n{a}"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = {1: "", 2: "u\n\nv", 3: f"{b}\nw\n\nz"}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, words=50).collect()} == {i: cut.get(i, t) for i, t in texts}
+    assert line_dedup.dedup(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_line_dedup_of_short_runs_by_brute_force(spark):
+    seen, expected = set(), []
+    texts = sorted({(i, t) for i, t in some_texts() if i is not None and t is not None})
+    for i, t in texts:
+        lines = [x for x in t.split("\n") if W.search(x)]
+        gone = set()
+        for n in (1, 2, 3):
+            for k in range(len(lines) - n + 1):
+                key = tuple(lines[k : k + n])
+                if n == 3 or sum(len(W.findall(x)) for x in key) >= 15:
+                    gone |= set(range(k, k + n)) if key in seen else set()
+                    seen.add(key)
+        expected.append((i, len(lines), len(gone)))
+    found = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string"), words=15)
+    assert by_id(found, "n_lines", "n_removed") == listed(expected)
+
+
 def test_line_dedup_of_nothing(none):
     assert rows(line_dedup.dedup(none)) == []
