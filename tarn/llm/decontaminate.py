@@ -202,16 +202,20 @@ def _searcher(items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray
                 for m in np.unique(which):
                     mine = close[which == m]
                     item = members[m]
-                    # Of windows that overlap, the closest stands for all.
+                    # Windows that overlap form a chain. None has more of the item than the whole chain, which is tried before its windows.
                     for near in np.split(mine, np.flatnonzero((np.diff(mine) > size) | (np.diff(owner[mine]) > 0)) + 1):
-                        w = int(near[np.argmax(cosines[near, m])])
-                        k = int(owner[w])
-                        place = w - int(first[k])
-                        lo, hi = max(0, (place - 1) * step), (place + size + 1) * step
-                        row = confirm(item, float(cosines[w, m]), texts[k][lo:hi], lo)
-                        old = best.get((k, item))
-                        if row and (not old or (row[1], row[3], row[0]) > (old[1], old[3], old[0])):
-                            best[k, item] = row
+                        k = int(owner[near[0]])
+                        places = near - int(first[k])
+                        chain = texts[k][max(0, (int(places[0]) - 1) * step) : (int(places[-1]) + size + 1) * step]
+                        own = items[item][1]
+                        if len(near) > 1 and common_subsequence(own, chain) < limits.paraphrase * len(own):
+                            continue
+                        for w, place in zip(near.tolist(), places.tolist(), strict=True):
+                            lo, hi = max(0, (place - 1) * step), (place + size + 1) * step
+                            row = confirm(item, float(cosines[w, m]), texts[k][lo:hi], lo)
+                            old = best.get((k, item))
+                            if row and (not old or (row[1], row[3], row[0]) > (old[1], old[3], old[0])):
+                                best[k, item] = row
             for (k, item), row in best.items():
                 yield k, item, row
 

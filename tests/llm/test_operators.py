@@ -313,6 +313,16 @@ def test_decontamination_of_many_items(spark):
     assert max(sizes) <= 7 and sum(sizes) == 390
 
 
+def test_decontamination_beside_a_repeated_word(spark):
+    """Windows that repeat one word of the item have a larger cosine than the leak beside them, which is found all the same."""
+    own = [f"q{k}" for k in range(40)]
+    leak = [f"x{k}" if k % 4 == 1 else w for k, w in enumerate(own)]
+    filler = [f"y{k}" for k in range(16)]
+    docs = [(1, " ".join([*leak, *filler, *[own[7]] * 200])), (2, " ".join([*[own[7]] * 200, *filler, *leak])), (3, " ".join([own[7]] * 200))]
+    found = decontaminate.leaks(spark.createDataFrame([*docs, *[(10 + k, f"z{k}") for k in range(50)]], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(own))], "item_id long, text string"))
+    assert [(r["doc_id"], r["lcs"], r["kind"]) for r in found.orderBy("doc_id").collect()] == [(1, 30, "leak"), (2, 30, "leak")]
+
+
 def test_decontamination_of_nothing(spark, none, docs):
     benchmark = spark.createDataFrame([(1, "some words of a question")], "item_id long, text string")
     assert rows(decontaminate.leaks(none, benchmark)) == []
