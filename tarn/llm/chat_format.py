@@ -5,9 +5,10 @@ a conversation are rendered, and where an output begins with the one before, the
 template whose output for a longer prefix does not begin with the shorter one rewrites history, which is reported. The
 place of a text within its span is found by rendering the turn once more with a probe for its text.
 
-Rows are streamed in order of turns, so a conversation of any length takes bounded memory: after BLOCK turns prefixes
-start anew at a block, which is sound for templates that render a turn alike whatever is far behind it; the turn at
-the border is rendered both ways, and where the two differ whole prefixes are used instead.
+Rows are streamed in order of turns. Of a template that promises to render a turn alike whatever is far behind it (a
+true attribute `restarts`, as tagged() has) a conversation of any length takes bounded memory: after BLOCK turns
+prefixes start anew at a block; the turn at the border is rendered both ways, and where the two differ whole prefixes
+are used instead. Of any other template whole prefixes are rendered, in time that grows with the square of the turns.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ def tagged(turns: list[Turn]) -> str:
     return "".join(f"<turn {escape(role).replace('>', _CLOSE)}>{escape(text)}</turn>\n" for role, text in turns)
 
 
+tagged.restarts = True
+
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<\[]|\\[\\<\[])*)</turn>\n", re.S)
 
 
@@ -65,13 +68,18 @@ def _role(escaped: str) -> str:
 
 @dataclass
 class Incremental:
-    """Renders turns one after the other. rewrites: how often an output did not begin with the one before."""
+    """Renders turns one after the other. rewrites: how often an output did not begin with the one before.
+
+    restarts: the template promises to render later turns alike without older history, which then starts anew every
+    BLOCK turns once both renderings have been compared; else whole prefixes are rendered.
+    """
 
     template: Template
     history: list[Turn] = field(default_factory=list)
     before: str = ""
     rewrites: int = 0
     whole: bool = False
+    restarts: bool = True
 
     def _span(self, turn: Turn) -> tuple[str, bool]:
         now = self.template([*self.history, turn])
@@ -79,7 +87,7 @@ class Incremental:
 
     def feed(self, role: str, text: str) -> tuple[str, int, int]:
         """The span of the turn, and where the text begins and ends in it (-1 where the probe can't tell)."""
-        if len(self.history) >= BLOCK and not self.whole:
+        if self.restarts and len(self.history) >= BLOCK and not self.whole:
             far, _ = self._span((role, text))
             last = self.history[-1:]
             near = Incremental(self.template, last, self.template(last))
@@ -108,13 +116,15 @@ _COLUMNS = [(part.split()[0], _TYPES[part.split()[1]]) for part in _PIECE.split(
 
 
 def _renderer(template: Template, learned: str):
+    restarts = getattr(template, "restarts", False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conversation, state, place, at = object(), Incremental(template), 0, 0
+        conversation, state, place, at = object(), Incremental(template, restarts=restarts), 0, 0
         for batch in batches:
             rows = []
             for conv_id, role, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if conv_id != conversation:
-                    conversation, state, place, at = conv_id, Incremental(template), 0, 0
+                    conversation, state, place, at = conv_id, Incremental(template, restarts=restarts), 0, 0
                 span, start, end = state.feed(role or "", text or "")
                 loss = (at + start, at + end) if role == learned and start >= 0 else (None, None)
                 rows.append((conv_id, place, role or "", span, at, *loss, state.rewrites))
@@ -132,6 +142,7 @@ def render(conversations: DataFrame, template: Template = tagged, learned: str =
     the text of a turn of the learned role (null for others). rewrites counts how often the template has rewritten
     history so far; pieces then are whole outputs. Turns sort by turn, role and text, nulls first; repeated rows are
     turns of their own. Null role or text is empty, and a null conv_id is a conversation. Other columns are not looked at.
+    A template without a true attribute `restarts` (see Incremental) gets every prefix whole.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

@@ -152,6 +152,15 @@ def test_chat_black_boxes():
     assert "".join(long.feed(r, t)[0] for r, t in turns) == llama(turns) and len(long.history) <= chat_format.BLOCK + 1
 
 
+def test_chat_of_a_template_that_rewrites_late(spark):
+    late = lambda turns: "".join(f"{t}\n" for _, t in turns) if len(turns) <= 150 else f"({len(turns) - 150} older)\n" + "".join(f"{t}\n" for _, t in turns[-150:])
+    turns = [("user", str(k)) for k in range(200)]
+    whole = [late(turns[: k + 1]) for k in range(200)]
+    pieces = [w.removeprefix(b) for w, b in zip(whole, ["", *whole], strict=False)]
+    found = chat_format.render(spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string"), late).orderBy("place").collect()
+    assert [r["piece"] for r in found] == pieces and found[-1]["rewrites"] == 50
+
+
 def test_chat_of_nothing(spark):
     assert rows(chat_format.digests(chat_format.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))) == []
 
