@@ -1,11 +1,10 @@
-"""Line dedup by winnowing, in DataFrame functions only.
-
-Lines that hold a word are hashed. Of every `run` consecutive line hashes the least is a fingerprint, so any repeated
-run of that many lines has a fingerprint in common with its first occurrence, at the same distance. Fingerprints that
-lie at one place only are dropped; about each other one the match is extended both ways to the windows of `run` lines
-that it stands for, and windows are compared by the 96-bit identity of their lines. Each line of a window that also
-stands earlier (smaller doc_id, then smaller position) is deleted, so of overlapping windows the union goes: the
-maximal later repeated runs.
+"""Line dedup by windows of line hashes, with fingerprints as a filter, in DataFrame functions only.
+
+Lines that hold a word are hashed. Of every `run` consecutive line hashes the least is a fingerprint, as in winnowing.
+This is not winnowing's selection of positions: each window of each position is written with its fingerprint and the
+96-bit identity of its lines. Windows whose fingerprint lies at one place only are dropped, and the others are compared
+outright by identity; no match of fingerprints is extended. Each line of a window that also stands earlier (smaller
+doc_id, then smaller position) is deleted, so of overlapping windows the union goes: the maximal later repeated runs.
 """
 
 from __future__ import annotations
