@@ -4,10 +4,11 @@ Every document gets measures (share of symbols, of repeated lines, ...). A rule
 above a cutoff. For each stratum (language) and rule, the cutoffs of a fixed grid are tested on the labelled documents
 of that stratum: with k of n good documents above a cutoff, the exact binomial tail P(Bin(n, alpha) <= k) is the
 p-value of "this cutoff rejects more than a share alpha of good documents". A cutoff is certified where the p-value is
-at most delta divided by the number of tests (Bonferroni over strata, rules and grid), so that with probability
-1 - delta no cutoff in use rejects more than alpha of the good documents of its stratum. Of the certified cutoffs the
-one that tells bad from good best is used, the most lenient of equals; a rule without a useful certified cutoff
-rejects nothing in that stratum.
+at most delta divided by the number of tests (Bonferroni over strata, rules and grid). Where m rules are in use in a
+stratum, each is certified for alpha / m, so that with probability 1 - delta the rules together reject no more than
+alpha of the good documents of any stratum; m is the number with which the rules' gains add up to most, the fewest of
+equals. Of a rule's certified cutoffs the one that tells bad from good best is used, the most lenient of equals; a rule
+without a useful certified cutoff rejects nothing in that stratum.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ GRID: dict[str, tuple[float, ...]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """alpha: most share of good documents that one rule may reject; delta: chance that any cutoff breaks that.
+    """alpha: most share of a stratum's good documents that the rules may reject together; delta: chance that any stratum breaks that.
 
     cost: how many shares of bad documents caught make up for the same share of good ones rejected.
     """
@@ -119,11 +120,17 @@ def cutoffs(labelled: DataFrame, risk: Risk = Risk()) -> DataFrame:
     rows = rows.select("stratum", "n_good", "n_bad", "n_strata", "x.*")
     # Above alpha * n the tail is over a third and can't be certified; the sum is left out there.
     possible = F.col("k") <= F.col("n_good") * risk.alpha
-    rows = rows.where(possible & (F.col("n_good") > 0)).withColumn("p_value", binomial_tail(F.col("k"), F.col("n_good"), risk.alpha))
-    rows = rows.where(F.col("p_value") <= F.lit(risk.delta) / (len(tests) * F.col("n_strata")))
+    rows = rows.where(possible & (F.col("n_good") > 0))
+    # With m rules in use each is certified for a share alpha / m. All rest on the same bounds of the tests' shares, so m may be chosen.
+    most = F.lit(risk.delta) / (len(tests) * F.col("n_strata"))
+    certified = F.array_compact(F.array(*[F.when((F.col("k") <= F.col("n_good") * (risk.alpha / m)) & (binomial_tail(F.col("k"), F.col("n_good"), risk.alpha / m) <= most), F.lit(m)) for m in range(1, len(GRID) + 1)]))
     gain = F.col("caught") / F.greatest(F.col("n_bad"), F.lit(1)) - risk.cost * F.col("k") / F.col("n_good")
-    best = rows.withColumn("gain", gain).where(F.col("gain") >= risk.least_gain)
-    return best.groupBy("stratum", "rule").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), "cutoff")).alias("best")).select("stratum", "rule", F.col("best.cutoff").alias("cutoff"))
+    rows = rows.withColumn("gain", gain).where(F.col("gain") >= risk.least_gain).withColumn("m", F.explode(certified))
+    best = rows.groupBy("stratum", "m", "rule").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), "cutoff")).alias("best"))
+    sets = best.groupBy("stratum", "m").agg(F.collect_list(F.struct("best.gain", "rule", "best.cutoff")).alias("all")).withColumn("chosen", F.slice(F.sort_array("all", asc=False), F.lit(1), F.col("m")))
+    total = F.round(F.aggregate("chosen", F.lit(0.0), lambda a, x: a + x["gain"]), 9)
+    used = sets.groupBy("stratum").agg(F.max(F.struct(total.alias("total"), (-F.col("m")).alias("fewest"), "chosen")).alias("used"))
+    return used.select("stratum", F.explode("used.chosen").alias("x")).select("stratum", "x.rule", "x.cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:

@@ -271,6 +271,18 @@ def test_quality_cutoffs_are_certified(spark):
     assert rows(quality_rules.cutoffs(df)) == [("en", "symbol_share", 0.2)]  # fr is too small to certify anything
 
 
+def test_quality_cutoffs_hold_alpha_together(spark):
+    """Three rules that each reject another 0.8 % of 6000 good documents: each alone is within alpha, all three are not."""
+    names = list(GRID_RULES := quality_rules.GRID)[:3]
+    high = {m: max(GRID_RULES[m]) + 0.01 for m in names}
+    data = [("en", 1, *[high[m] if m in names and i % 125 == names.index(m) else 0.0 for m in GRID_RULES]) for i in range(6000)]
+    data += [("en", 0, *[high[m] if m in names and i % 3 == names.index(m) else 0.0 for m in GRID_RULES]) for i in range(900)]
+    df = spark.createDataFrame(data, "stratum string, quality int, " + ", ".join(f"{m} double" for m in GRID_RULES))
+    used = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(df).collect()}
+    rejected = sum(any(d[2 + k] > used[m] for k, m in enumerate(GRID_RULES) if m in used) for d in data if d[1] == 1)
+    assert used and rejected <= 0.02 * 6000
+
+
 def test_binomial_tail(spark):
     from math import comb
 
