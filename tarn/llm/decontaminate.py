@@ -4,8 +4,10 @@
 2. Benchmark passages become TF-IDF rows; a randomised SVD, whose two passes over the rows are distributed, gives the
    latent space. Only directions that benchmark passages span can add to a cosine with one of them, so the space is
    fitted on exactly those rows, in blocks of items.
-3. Every window of every document is compared with all items of the block, each at windows of about its own length.
-   What a word adds to the product of projections is looked up, so windows are differences of running sums.
+3. Every window of every document is compared with all items, each at windows of about its own length. What a word adds
+   to the product of projections is looked up, so windows are differences of running sums. The most that a word adds to
+   any item bounds all cosines of a window at once; items are only gone through where that bound reaches the limit, so
+   no candidate is lost.
 4. Candidates are confirmed on words: a longest common subsequence over most of the item is a leak; one over about half
    of it is a paraphrase, and a leak if the item's answer (its last sentence, or last words) is there as well.
 """
@@ -13,7 +15,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +28,10 @@ from tarn.llm._shared import stored
 
 #: Hashed words: a table of so many document frequencies goes to every task, whatever the corpus.
 FEATURES = 1 << 18
-#: Most items that share a latent space and a pass over the documents; no more than the rank of the space, so it holds each exactly.
+#: Most items that share a latent space; no more than the rank of the space, so it holds each exactly.
 BLOCK_ITEMS = 400
+#: Blocks that share a pass over the documents; a task holds about 5 MB for each.
+PASS_BLOCKS = 16
 #: Blocks that are numbered together in one task.
 SHARD_BLOCKS = 64
 REMEMBERED = 400_000
@@ -59,7 +63,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
 
 
-def _features(found: list[bytes], known: _Features) -> np.ndarray:
+def _features(found: Collection[bytes], known: _Features) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 
@@ -67,8 +71,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, total, n = _Features(), np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         for text in batch.column(0):
-            own = np.unique(_features(words(text.as_py()), known))
-            total[own] += 1
+            # A feature that two words of a text share counts once, since repeated indices add once.
+            total[_features(set(words(text.as_py())), known)] += 1
             n += 1
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], n))], names=["feature", "n"])
@@ -155,72 +159,108 @@ def answer_of(text: str | None) -> list[bytes]:
 _FOUND = "doc_id long, item_id long, cosine double, lcs long, item_words long, answer_lcs long, answer_words long, first_word long, kind string"
 
 
-def _searcher(items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray, vocabulary: np.ndarray, space: np.ndarray, limits: Limits):
-    names = [part.split()[0] for part in _FOUND.split(", ")]
-    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    schema = pa.schema([(part.split()[0], types[part.split()[1]]) for part in _FOUND.split(", ")])
+class _Block:
+    """Items that share a latent space, and what a word adds to the product with each of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray, vocabulary: np.ndarray, space: np.ndarray, step: int) -> None:
         known = _Features()
-        column = np.full(FEATURES, len(vocabulary), np.int32)
-        column[vocabulary] = np.arange(len(vocabulary))
-        energy = idf.astype(np.float64) ** 2
-        step = limits.step
-        groups: dict[int, list[int]] = {}
+        self.items = items
+        self.column = np.full(FEATURES + 1, len(vocabulary), np.int32)
+        self.column[vocabulary] = np.arange(len(vocabulary))
         latent = np.zeros((len(items), space.shape[1]), np.float32)
+        groups: dict[int, list[int]] = {}
         for k, (_, own, _) in enumerate(items):
             f, w = _weights(_features(own, known), idf)
-            latent[k] = (w.astype(np.float32) @ space[column[f]]) / np.sqrt((w**2).sum())
+            latent[k] = (w.astype(np.float32) @ space[self.column[f]]) / np.sqrt((w**2).sum())
             groups.setdefault(-(-len(own) // step) + 1, []).append(k)
+        self.groups = sorted(groups.items())
         # What one occurrence of a word adds to the product with each item; the last row is for all other words.
-        adds = np.vstack([(idf[vocabulary, None] * space) @ latent.T, np.zeros((1, len(items)), np.float32)])
+        self.adds = np.vstack([(idf[vocabulary, None] * space) @ latent.T, np.zeros((1, len(items)), np.float32)])
+        self.most = np.stack([self.adds[:, members].max(axis=1).clip(0.0) for _, members in self.groups], axis=1)
+
+    def candidates(self, features: np.ndarray, spent: np.ndarray, last: np.ndarray, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(item, cells of a window, first cells of the windows whose cosine is at least `least`, those cosines).
+
+        features: (cells, step); spent: energy before each cell, and in all; last: where the text of a cell ends.
+        """
+        n_cells = len(features)
+        col = self.column[features]
+        starts = np.arange(n_cells)
+        bounds = np.zeros((n_cells + 1, len(self.groups)))
+        np.cumsum(self.most[col].sum(axis=1), axis=0, out=bounds[1:])
+        reached = []
+        needed = np.zeros(n_cells + 1, np.int64)
+        for g, (size, _) in enumerate(self.groups):
+            ends = np.minimum(starts + size, last)
+            norm = np.sqrt(np.maximum(spent[ends] - spent[:-1], 1e-9))
+            own = np.flatnonzero(bounds[ends, g] - bounds[:-1, g] >= least * norm * (1 - 1e-5) - 1e-6)
+            np.add.at(needed, own, 1)
+            np.add.at(needed, ends[own], -1)
+            reached.append((own, ends[own], norm[own]))
+        at = np.flatnonzero(np.cumsum(needed[:-1]) > 0)
+        if not len(at):
+            return
+        # Cells of a window follow one another, and so they do among the cells that are needed.
+        place = np.zeros(n_cells, np.int64)
+        place[at] = np.arange(len(at))
+        sums = np.zeros((len(at) + 1, len(self.items)))
+        for c in range(0, len(at), 128):
+            sums[c + 1 : c + 129] = self.adds[col[at[c : c + 128]]].sum(axis=1)
+        np.cumsum(sums, axis=0, out=sums)
+        for (size, members), (own, ends, norm) in zip(self.groups, reached, strict=True):
+            if not len(own):
+                continue
+            first = place[own]
+            cosines = (sums[first + (ends - own)] - sums[first])[:, members] / norm[:, None]
+            close, which = np.nonzero(cosines >= least)
+            for m in np.unique(which):
+                mine = close[which == m]
+                yield members[m], size, own[mine], cosines[mine, m]
+
+
+def _searcher(blocks: list[_Block], idf: np.ndarray, limits: Limits):
+    names = [part.split()[0] for part in _FOUND.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    schema = pa.schema([(part.split()[0], types[part.split()[1]]) for part in _FOUND.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Features()
+        energy = np.append(idf.astype(np.float64) ** 2, 0.0)
+        step = limits.step
 
         def search(texts: list[list[bytes]]) -> Iterator[tuple[int, int, tuple]]:
-            """(number of the text, item, finding); texts are padded to whole cells of `step` words and gone through together."""
+            """(number of the text, item_id, finding); texts are padded to whole cells of `step` words and gone through together."""
             cells = np.array([-(-len(t) // step) for t in texts])
             first = np.concatenate([[0], np.cumsum(cells)])
-            n_cells, col = int(first[-1]), np.full(int(first[-1]) * step, len(vocabulary), np.int32)
-            spent = np.zeros(n_cells * step)
+            features = np.full(int(first[-1]) * step, FEATURES, np.int32)
             for t, c in zip(texts, first, strict=False):
-                at = _features(t, known)
-                spent[c * step : c * step + len(at)] = energy[at]
-                col[c * step : c * step + len(at)] = column[at]
-            spent = np.concatenate([[0.0], np.cumsum(spent.reshape(-1, step).sum(axis=1))])
-            col = col.reshape(-1, step)
-            sums = np.zeros((n_cells + 1, len(items)))
-            for c in range(0, n_cells, 128):
-                sums[c + 1 : c + 129] = adds[col[c : c + 128]].sum(axis=1)
-            np.cumsum(sums, axis=0, out=sums)
+                features[c * step : c * step + len(t)] = _features(t, known)
+            features = features.reshape(-1, step)
+            spent = np.concatenate([[0.0], np.cumsum(energy[features].sum(axis=1))])
             owner = np.repeat(np.arange(len(texts)), cells)
-            last, starts = first[1:][owner], np.arange(n_cells)
-            best: dict[tuple[int, int], tuple] = {}
-            for size, members in groups.items():
-                ends = np.minimum(starts + size, last)
-                scale = 1.0 / np.sqrt(np.maximum(spent[ends] - spent[starts], 1e-9))
-                cosines = (sums[ends] - sums[:-1])[:, members] * scale[:, None]
-                close, which = np.nonzero(cosines >= limits.cosine)
-                for m in np.unique(which):
-                    mine = close[which == m]
-                    item = members[m]
+            for block in blocks:
+                best: dict[tuple[int, int], tuple] = {}
+                for item, size, windows, cosines in block.candidates(features, spent, first[1:][owner], limits.cosine):
                     # Windows that overlap form a chain. None has more of the item than the whole chain, which is tried before its windows.
-                    for near in np.split(mine, np.flatnonzero((np.diff(mine) > size) | (np.diff(owner[mine]) > 0)) + 1):
+                    breaks = np.flatnonzero((np.diff(windows) > size) | (np.diff(owner[windows]) > 0)) + 1
+                    for near, close in zip(np.split(windows, breaks), np.split(cosines, breaks), strict=True):
                         k = int(owner[near[0]])
                         places = near - int(first[k])
                         chain = texts[k][max(0, (int(places[0]) - 1) * step) : (int(places[-1]) + size + 1) * step]
-                        own = items[item][1]
+                        own = block.items[item][1]
                         if len(near) > 1 and common_subsequence(own, chain) < limits.paraphrase * len(own):
                             continue
-                        for w, place in zip(near.tolist(), places.tolist(), strict=True):
+                        for cosine, place in zip(close.tolist(), places.tolist(), strict=True):
                             lo, hi = max(0, (place - 1) * step), (place + size + 1) * step
-                            row = confirm(item, float(cosines[w, m]), texts[k][lo:hi], lo)
+                            row = confirm(block.items[item], cosine, texts[k][lo:hi], lo)
                             old = best.get((k, item))
                             if row and (not old or (row[1], row[3], row[0]) > (old[1], old[3], old[0])):
                                 best[k, item] = row
-            for (k, item), row in best.items():
-                yield k, item, row
+                for (k, item), row in best.items():
+                    yield k, block.items[item][0], row
 
-        def confirm(item: int, cosine: float, region: list[bytes], place: int) -> tuple | None:
-            _, mine, answer = items[item]
+        def confirm(item: tuple[int, list[bytes], list[bytes]], cosine: float, region: list[bytes], place: int) -> tuple | None:
+            _, mine, answer = item
             lcs = common_subsequence(mine, region)
             if lcs < limits.paraphrase * len(mine):
                 return None
@@ -243,7 +283,7 @@ def _searcher(items: list[tuple[int, list[bytes], list[bytes]]], idf: np.ndarray
                     texts.append(found)
                     held += len(found)
                 if texts and (held > 15_000 or text is None):
-                    rows += [(ids[k], items[item][0], *row) for k, item, row in search(texts)]
+                    rows += [(ids[k], item_id, *row) for k, item_id, row in search(texts)]
                     ids, texts, held = [], [], 0
             columns = list(zip(*rows, strict=True)) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -263,24 +303,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> D
     """A row for each document and benchmark item that it holds: cosine, words in common order, place and kind.
 
     kind is leak or paraphrase; first_word is where the compared region begins. Null or empty texts hold nothing, and
-    items without a word are in nothing. Repeated rows each report; a null doc_id or item_id stays null. The benchmark
-    is gone through in blocks of at most BLOCK_ITEMS items, and no more than the rank, each with one pass over the
-    documents. Other columns are not looked at.
+    items without a word are in nothing. Repeated rows each report; a null doc_id or item_id stays null. Items share a
+    latent space in blocks of at most BLOCK_ITEMS, and no more than the rank; PASS_BLOCKS blocks share a pass over the
+    documents. What an item finds does not depend on other items. Other columns are not looked at.
     """
     idf = inverse_frequencies(docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     numbered = stored(_blocks(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL"), min(BLOCK_ITEMS, limits.rank)), "items")
+    blocks: list[_Block] = []
     found = None
-    for shard, block in numbered.select("shard", "block").distinct().orderBy("shard", "block").collect():
+    named = [(r["shard"], r["block"]) for r in numbered.select("shard", "block").distinct().orderBy("shard", "block").collect()]
+    for shard, block in named:
         chosen = numbered.where((F.col("shard") == shard) & (F.col("block") == block))
         items = [(r["item_id"], own, answer_of(r["text"])) for r in chosen.orderBy("item_id", "text").collect() if (own := words(r["text"]))]
-        if not items:
-            continue
-        known = _Features()
-        vocabulary = np.unique(np.concatenate([_features(own, known) for _, own, _ in items]))
-        space = latent_space(chosen, idf, vocabulary, min(limits.rank, len(items), len(vocabulary)))
-        part = texts.mapInArrow(_searcher(items, idf, vocabulary, space, limits), _FOUND)
-        found = part if found is None else found.union(part)
+        if items:
+            known = _Features()
+            vocabulary = np.unique(np.concatenate([_features(own, known) for _, own, _ in items]))
+            space = latent_space(chosen, idf, vocabulary, min(limits.rank, len(items), len(vocabulary)))
+            blocks.append(_Block(items, idf, vocabulary, space, limits.step))
+        if blocks and (len(blocks) == PASS_BLOCKS or (shard, block) == named[-1]):
+            part = texts.mapInArrow(_searcher(blocks, idf, limits), _FOUND)
+            found = part if found is None else found.union(part)
+            blocks = []
     return found if found is not None else docs.sparkSession.createDataFrame([], _FOUND)
 
 

@@ -344,6 +344,46 @@ def test_decontamination_beside_a_repeated_word(spark):
     assert [(r["doc_id"], r["lcs"], r["kind"]) for r in found.orderBy("doc_id").collect()] == [(1, 30, "leak"), (2, 30, "leak")]
 
 
+def test_decontamination_by_brute_force(spark):
+    """Against the longest common subsequence of every item with every window of its length, in texts that hold more or less of an item."""
+    rng = random.Random(41)
+    vocabulary = [f"w{k}" for k in range(600)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(10, 45)))) for i in range(25)]
+    docs = []
+    for i in range(200):
+        words = items[i % 25][1].split()
+        share = rng.choice([0.0, 0.1, 0.2, 0.25, 0.3, 0.35, 0.45, 0.6])
+        words = [rng.choice(vocabulary) if rng.random() < share else w for w in words]
+        if i % 5 == 0:  # a decoy of the same words, which has the larger cosine
+            words += [*prose(8), *reversed(items[i % 25][1].split())]
+        docs.append((i, " ".join([*prose(rng.randint(0, 60)), *words, *prose(rng.randint(0, 60))])))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(*frames).where("kind = 'leak'").collect()}
+    expected, possible = set(), set()
+    for d, text in docs:
+        own = decontaminate.words(text)
+        for i, item in items:
+            mine = decontaminate.words(item)
+            longest = [max(decontaminate.common_subsequence(mine, own[k : k + n]) for k in range(max(1, len(own) - n + 1))) for n in (len(mine), 2 * len(mine) + 40)]
+            expected |= {(d, i)} if longest[0] >= 0.7 * len(mine) else set()
+            possible |= {(d, i)} if longest[1] >= 0.7 * len(mine) else set()
+    assert len(expected) > 80 and found <= possible
+    assert len(found & expected) >= 0.98 * len(expected)  # asked for: 0.9
+
+
+def test_decontamination_at_the_border_of_a_block(spark):
+    """What an item finds does not depend on how many other items there are."""
+    rng = random.Random(42)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(10, 40)))) for i in range(401)]
+    docs = [(i, " ".join([*prose(30), *[w if rng.random() < 0.75 else "x" for w in items[i % 399][1].split()], *prose(30)])) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    few, many = ({(r["doc_id"], r["item_id"], r["lcs"], r["kind"]) for r in decontaminate.leaks(frame, spark.createDataFrame(items[:n], "item_id long, text string")).collect()} for n in (399, 401))
+    assert few == {r for r in many if r[1] < 399} and len(few) > 60
+
+
 def test_decontamination_of_nothing(spark, none, docs):
     benchmark = spark.createDataFrame([(1, "some words of a question")], "item_id long, text string")
     assert rows(decontaminate.leaks(none, benchmark)) == []
