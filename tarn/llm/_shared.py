@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import tempfile
-import time
 import uuid
+import weakref
 
 import tarn
 from pyspark import cloudpickle
@@ -22,10 +23,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+#: Setting: shuffle files of a write go when it has ended, since its rows are read from the files written.
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LEFT: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none, as in tests."""
+    """The folder that driver and executors share. Only a session in one process may do without: it gets one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -35,20 +44,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tarn/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again: lineage is cut, and lost executors lose nothing."""
+def save(df: DataFrame, path: str) -> None:
+    """Writes Parquet; shuffle files behind it go at once."""
     spark = configure(df.sparkSession)
+    before = spark.conf.get(_FILES_GO, "false")
+    spark.conf.set(_FILES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FILES_GO, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again: lineage is cut, and lost executors lose nothing.
+
+    The folder goes with discard(), or when Python ends.
+    """
+    spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    save(df, path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[made] = path
+    _LEFT[path] = spark
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() has written for these frames; nothing that is still to be run may read them."""
+    for frame in frames:
+        if path := _FOLDERS.pop(frame, None):
+            _delete(path)
+
+
+def _delete(path: str) -> None:
+    context = _LEFT.pop(path).sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files behind what has been stored; it does so in the background once nothing refers to them."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
+@atexit.register
+def _delete_left() -> None:
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -76,7 +114,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        now = stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        before, now = now, stored(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if tuple(seen) == sign:
             break

@@ -1,42 +1,49 @@
 """Removal of byte strings that an earlier document holds, by bucket-pointer refinement of suffixes.
 
-Suffixes are put into buckets by their first bytes, and a bucket is refined by the bucket identifiers of later offsets:
-the bucket of 2m bytes at p follows from those of m bytes at p and at p + m, so identifiers of 16 bytes are reused for 32
-and those of 32 for the 50 (LENGTH) that count. Identifiers are 64-bit mixes instead of global ranks, so that every task
-names equal strings alike without a global sort; Spark sorts on them.
-
-Not every suffix is shuffled. The least 16-byte identifier of a window of LENGTH bytes (the leftmost of equals) is its
-pointer; successive windows share a pointer, and such a run of windows is one row. (1) Pointers of a single document are
-dropped. (2) Runs are refined by the identifiers of their first and last window; a run that an earlier document has goes
-as a whole. (3) Where different runs share a pointer, the first occurrence of each is refined by the 32-byte identifiers
-that end with and begin at the pointer: every window holds one of the two. (4) Runs that still share one are opened into
-windows, which are refined by their 50-byte identifiers. Equal windows have equal pointers at equal offsets, so nothing
-is missed.
+Suffixes are put into buckets by their first bytes, and a bucket is refined by sorting its pointers on the bucket
+identifiers of other offsets: the bucket of 2m bytes at p follows from those of m bytes at p and at p + m, so the
+identifiers of 16 bytes are reused for 32 and those of 32 for the 50 (LENGTH) that count. An identifier is a 64-bit
+number that follows from the bytes, so every task names equal buckets alike; buckets meet in Spark's shuffles and sorts.
+
+Only some suffixes are pointers, since a row for each byte would be about sixteen times the input in one shuffle: of the
+16-byte buckets of a window of LENGTH bytes the one with the least identifier (the leftmost of equals). Successive
+windows share a pointer, and such a run of windows is one row. Equal windows have equal pointers at equal offsets.
+
+1. q-gram buckets: (bucket of 16 bytes at the pointer). Those of a single document are resolved.
+2. Pointers are refined by the buckets of LENGTH bytes at the first and at the last window of their run. A pointer whose
+   refined bucket an earlier document is in goes with its whole run; where all pointers of a q-gram bucket stay in one
+   refined bucket, it is resolved.
+3. Other pointers, of the first document of each refined bucket, are refined by the 32-byte buckets that end with and
+   begin at their 16 bytes; every window holds one of the two.
+4. Where another document is in that bucket too, runs are opened into windows, and the bucket of each window's first 32
+   bytes is refined by the bucket at offset 18. Windows whose refined bucket an earlier document is in go.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import release, stored
+from tarn.llm._shared import discard, stored
 
 LENGTH = 50
 _POINTER = 16
 #: Bytes that are looked at together: bounds memory for very long texts, and changes no result.
 CHUNK = 1 << 20
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
-_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PLACE = np.uint64((1 << 21) - 1)
+#: Numbers of windows and offsets within a window are below this.
+_SIX = 64
 
 
 def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Identifiers of what starts with a bucket of a and goes on with one of b."""
+    """Buckets of what starts with a bucket of a and goes on with one of b."""
     x = a * _K1
     x += b
     x ^= x >> np.uint64(32)
@@ -45,49 +52,12 @@ def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-_PLACE = np.uint64((1 << 21) - 1)
-
-
-@dataclass
-class _Suffixes:
-    """Pointers of the windows of some bytes. runs: first window of each run, and one past the last run's last window."""
-
-    b16: np.ndarray
-    place: np.ndarray
-    runs: np.ndarray
-
-    @classmethod
-    def of(cls, data: bytes) -> _Suffixes:
-        b = _BYTES[np.frombuffer(data, np.uint8)]
-        for step in (1, 2, 4, 8):
-            b = _refine(b[:-step], b[step:])
-        least = (b & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16):
-            least = np.minimum(least[:-step], least[step:])
-        rest = LENGTH - _POINTER + 1 - 32
-        place = (np.minimum(least[:-rest], least[rest:]) & _PLACE).astype(np.int64)
-        return cls(b, place, np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]]))
-
-    def pointers(self) -> np.ndarray:
-        return self.b16[self.place[self.runs[:-1]]]
-
-    def b32(self) -> np.ndarray:
-        return _refine(self.b16[:-16], self.b16[16:])
-
-    def windows(self) -> np.ndarray:
-        b32 = self.b32()
-        return _refine(b32[: len(b32) - (LENGTH - 32)], b32[LENGTH - 32 :])
-
-    def run_ids(self, windows: np.ndarray) -> np.ndarray:
-        first, last = self.runs[:-1], self.runs[1:] - 1
-        return _refine(_refine(windows[first], (last - first).astype(np.uint64) * _K3), windows[last])
-
-    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each window: whether the 16 bytes before its pointer are in it, and the 32-byte identifiers left and right (0 past an end)."""
-        b32, at = self.b32(), self.place
-        left = np.where(at >= 16, b32[np.maximum(at - 16, 0)], np.uint64(0))
-        right = np.where(at < len(b32), b32[np.minimum(at, len(b32) - 1)], np.uint64(0))
-        return at - np.arange(len(at)) >= 16, left, right
+def _buckets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of 16 and of 32 bytes at every place."""
+    b = _BYTES[np.frombuffer(data, np.uint8)]
+    for step in (1, 2, 4, 8):
+        b = _refine(b[:-step], b[step:])
+    return b, _refine(b[:-16], b[16:])
 
 
 def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
@@ -99,88 +69,100 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _batch(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    arrays = [pa.array(np.concatenate(c).view(np.int64) if c else np.empty(0, np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+def _rows(names: list[str], of: Callable[[bytes, np.ndarray | None], Iterator[list[np.ndarray]]]):
+    """(doc_id, rid, text[, numbers]) -> what `of` makes of each text, with doc_id and rid, in batches of bounded size."""
 
-
-def _runs(with_runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ptr", "run", "doc_id"] if with_runs else ["ptr", "doc_id"]
+        def batch_of(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns], names=names)
+
         for batch in batches:
             columns: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for _, data in _chunks(_bytes(text.as_py())):
-                    x = _Suffixes.of(data)
-                    found = [x.pointers(), x.run_ids(x.windows())] if with_runs else [np.unique(x.pointers())]
-                    for c, v in zip(columns, [*found, np.full(len(found[0]), doc_id, np.int64)], strict=True):
-                        c.append(v)
-                    held += len(found[0])
-                if held > 200_000:
-                    yield _batch(columns, names)
-                    columns, held = [[] for _ in names], 0
-            yield _batch(columns, names)
+            numbers = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
+            for doc_id, rid, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), numbers, strict=True):
+                for found in of(_bytes(text.as_py()), None if own is None else np.sort(own.values.to_numpy(zero_copy_only=False))):
+                    n = len(found[0])
+                    for c, v in zip(columns, [*found, np.full(n, doc_id, np.int64), np.full(n, rid, np.int64)], strict=True):
+                        c.append(v.view(np.int64))
+                    held += n
+                    if held > 200_000:
+                        yield batch_of(columns)
+                        columns, held = [[] for _ in names], 0
+            yield batch_of(columns)
 
     return run
 
 
-def _opened(whole: bool):
-    """(doc_id, text, runs) -> (side, doc_id) of the runs named, or with whole (doc_id, text, runs, sides) -> (side, win, doc_id) of their windows with one of the sides."""
+def _pointers(data: bytes, _: None) -> Iterator[list[np.ndarray]]:
+    """Bucket and run of each pointer; a run is its first window, its number of windows and its pointer's offset in one number."""
+    for at, chunk in _chunks(data):
+        b, _ = _buckets(chunk)
+        least = (b & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
+        for step in (1, 2, 4, 8, 16):
+            least = np.minimum(least[:-step], least[step:])
+        rest = LENGTH - _POINTER + 1 - 32
+        place = (np.minimum(least[:-rest], least[rest:]) & _PLACE).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+        size = np.diff(np.append(first, len(place)))
+        yield [b[place[first]], ((first + at) * _SIX + size) * _SIX + place[first] - first]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["side", "win", "doc_id"] if whole else ["side", "doc_id"]
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            held = 0
-            for doc_id, text, *ids in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
-                wanted, sides = [i.values.to_numpy(zero_copy_only=False).view(np.uint64) for i in (ids[0], ids[-1])]
-                for _, data in _chunks(_bytes(text.as_py())):
-                    x = _Suffixes.of(data)
-                    before, left, right = x.sides()
-                    side, windows = np.where(before, left, right), x.windows()
-                    chosen = np.repeat(np.isin(x.run_ids(windows), wanted), np.diff(x.runs))
-                    if whole:
-                        chosen &= np.isin(side, sides)
-                        win, first = np.unique(windows[chosen], return_index=True)
-                        found = [side[chosen][first], win]
-                    else:
-                        found = [np.unique(side[chosen])]
-                    for c, v in zip(columns, [*found, np.full(len(found[0]), doc_id, np.int64)], strict=True):
-                        c.append(v)
-                    held += len(found[0])
-                if held > 200_000:
-                    yield _batch(columns, names)
-                    columns, held = [[] for _ in names], 0
-            yield _batch(columns, names)
 
-    return run
+def _parts(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, and how far the pointer is from the first window."""
+    return run // (_SIX * _SIX), run // _SIX % _SIX, run % _SIX
+
+
+def _by_chunk(data: bytes, runs: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of ascending runs (times scale) of some bytes: buckets of 16 and of 32 bytes of a chunk, its runs, and where it begins."""
+    starts = _parts(runs // scale)[0]
+    for at, chunk in _chunks(data):
+        lo, hi = np.searchsorted(starts, [at, at + CHUNK])
+        if lo < hi:
+            yield *_buckets(chunk), runs[lo:hi], at
+
+
+def _refined(data: bytes, runs: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Of each run: ptr, the buckets of its first and its last window, the 32-byte buckets left and right (0 where no window has them), and run."""
+    more = LENGTH - 32
+    for b16, b32, run, at in _by_chunk(data, runs, 1):
+        first, size, offset = _parts(run)
+        first = first - at
+        last, pointer = first + size - 1, first + offset
+        left = np.where(offset >= 16, b32[np.maximum(pointer - 16, 0)], np.uint64(0))
+        right = np.where(pointer - last < 16, b32[np.minimum(pointer, len(b32) - 1)], np.uint64(0))
+        yield [b16[pointer], _refine(b32[first], b32[first + more]), _refine(b32[last], b32[last + more]), left, right, run]
+
+
+def _opened(data: bytes, runs: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Of runs (times two, plus one for the right side): bucket, bucket at offset 18 and place of the windows that hold that side."""
+    for _, b32, run, at in _by_chunk(data, runs, 2):
+        right = run % 2 > 0
+        first, size, offset = _parts(run // 2)
+        # Windows that begin at least 16 bytes before the pointer hold the left side, others the right one.
+        lefts = np.clip(offset - 15, 0, size)
+        skip, n = np.where(right, lefts, 0), np.where(right, size - lefts, lefts)
+        window = np.repeat(first + skip - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield [b32[window - at], b32[window - at + LENGTH - 32], window]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, runs, wins) -> the document's figures and what is left of it."""
+    """(doc_id, text, gone) -> the document's figures and what is left of it. gone: first windows and how many there are, in one number."""
     for batch in batches:
         rows = []
-        for doc_id, text, runs, wins in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)], strict=True):
+        for doc_id, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             data = _bytes(text.as_py())
-            if not runs.is_valid and not wins.is_valid:
+            if not gone.is_valid:
                 rows.append((doc_id, len(data), 0, [], [], hashlib.sha256(data).hexdigest()))
                 continue
-            bad_runs, bad_wins = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else np.empty(0, np.uint64) for x in (runs, wins)]
-            edge = np.zeros(len(data) + 1, np.int32)
-            for at, chunk in _chunks(data):
-                x = _Suffixes.of(chunk)
-                windows = x.windows()
-                bad = np.repeat(np.isin(x.run_ids(windows), bad_runs), np.diff(x.runs))
-                if len(bad_wins):
-                    bad |= np.isin(windows, bad_wins)
-                p = np.flatnonzero(bad) + at
-                edge[p] += 1
-                edge[p + LENGTH] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            rows.append((doc_id, len(data), int(gone.sum()), turns[0::2].tolist(), turns[1::2].tolist(), hashlib.sha256(left).hexdigest()))
+            windows = np.sort(gone.values.to_numpy(zero_copy_only=False))
+            start = windows // _SIX
+            reach = np.maximum.accumulate(start + windows % _SIX + LENGTH - 1)
+            # A removed run begins where no earlier one reaches.
+            new = np.concatenate([[True], start[1:] > reach[:-1]])
+            starts, ends = start[new].tolist(), reach[np.append(new[1:], True)].tolist()
+            kept = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)], strict=True))
+            rows.append((doc_id, len(data), len(data) - len(kept), starts, ends, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*rows, strict=True)) or [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept_sha256"])
@@ -190,33 +172,59 @@ def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, starts, ends (of the maximal removed runs, in bytes) and kept_sha256 for each row of docs.
 
     A byte goes if it is covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id. Null
-    text is empty. Rows that share a doc_id take nothing from each other; a null doc_id neither takes nor loses. Other
-    columns are not looked at.
+    text is empty. Rows that share a doc_id take nothing from each other; each of them loses what an earlier document
+    has. A null doc_id neither takes nor loses. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    key = ["doc_id", "rid"]
+    all_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # Different texts that share a doc_id are told apart by a hash; of other rows rid is 0, which takes no room.
+    own = F.xxhash64("text")
+    several = stored(all_.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select(F.col("doc_id").alias("_id")), "shared-ids")
+    texts = all_.join(several, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.when(F.col("_id").isNotNull(), own).otherwise(F.lit(0).cast("long")).alias("rid"), "text")
     real = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    pointers = real.mapInArrow(_runs(False), "ptr long, doc_id long")
-    shared = stored(pointers.groupBy("ptr").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("ptr"), "pointers")
-    release(spark)
-    runs = stored(real.mapInArrow(_runs(True), "ptr long, run long, doc_id long").join(shared, "ptr"), "runs")
-    release(spark)
-    first = stored(runs.groupBy("ptr", "run").agg(F.min("doc_id").alias("lo")), "first-runs")
-    whole = runs.join(first, ["ptr", "run"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
-    whole = stored(whole, "whole-runs")
-    several = first.groupBy("ptr").agg(F.count("*").alias("n")).where("n > 1").select("ptr")
-    candidates = stored(first.join(several, "ptr").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_set("run").alias("runs")), "candidates")
-    release(spark)
-    sides = stored(real.join(candidates, "doc_id").mapInArrow(_opened(False), "side long, doc_id long"), "sides")
-    met = sides.groupBy("side").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("side")
-    opened = stored(sides.join(met, "side").groupBy("doc_id").agg(F.collect_set("side").alias("sides")), "opened")
-    release(spark)
-    windows = stored(real.join(candidates.join(opened, "doc_id"), "doc_id").mapInArrow(_opened(True), "side long, win long, doc_id long"), "windows")
-    release(spark)
-    early = stored(windows.groupBy("side", "win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("side", "win", "lo"), "early")
-    release(spark)
-    late = windows.join(early, ["side", "win"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("win").alias("wins"))
-    gone = stored(whole.join(late, "doc_id", "full").select(F.col("doc_id").alias("_id"), "runs", "wins"), "gone")
-    release(spark)
-    marked = texts.join(gone, texts["doc_id"] == gone["_id"], "left").select("doc_id", "text", "runs", "wins")
-    return marked.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string")
+
+    def made(rows: DataFrame, names: list[str], of, name: str) -> DataFrame:
+        names = [*names, *key]
+        return stored(rows.mapInArrow(_rows(names, of), ", ".join(f"{n} long" for n in names)), name)
+
+    def of_two(rows: DataFrame, *by: str) -> DataFrame:
+        """The values that more than one document has, and the first of these; a task sends one row for each value."""
+        return rows.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*by, "lo")
+
+    # 1. Buckets of 16 bytes.
+    pointers = made(real, ["ptr", "run"], _pointers, "pointers")
+    shared = stored(of_two(pointers, "ptr").select("ptr"), "buckets")
+    met = stored(pointers.join(shared, "ptr").select(*key, "run"), "met")
+    discard(pointers, shared)
+    # 2. Refined by the buckets of the first and the last window.
+    listed = met.groupBy(*key).agg(F.collect_set("run").alias("runs"))
+    refined = made(real.join(listed, key).select(*key, "text", "runs"), ["ptr", "first", "last", "left", "right", "run"], _refined, "refined")
+    discard(met)
+    bucket = ["ptr", "first", "last", "span"]
+    spanned = refined.withColumn("span", F.col("run") % (_SIX * _SIX))
+    lows = stored(spanned.groupBy(*bucket).agg(F.min("doc_id").alias("lo")), "lows")
+    open_ = lows.groupBy("ptr").agg(F.count("*").alias("n")).where("n > 1").select("ptr", F.lit(True).alias("open"))
+    marked = stored(lows.join(open_, "ptr", "left"), "marked")
+    discard(lows)
+    judged = stored(spanned.join(marked, bucket).where("doc_id > lo OR open").select(*key, "ptr", "left", "right", "run", (F.col("doc_id") > F.col("lo")).alias("late")), "judged")
+    discard(refined, marked)
+    whole = judged.where("late").select(*key, (F.expr(f"run DIV {_SIX}")).alias("gone"))
+    # 3. Refined by the buckets beside the pointer.
+    sided = judged.where("NOT late").select(*key, "ptr", "run", F.explode(F.array(F.struct(F.lit(0).alias("right"), F.col("left").alias("side")), F.struct(F.lit(1).alias("right"), F.col("right").alias("side")))).alias("s"))
+    sided = sided.select(*key, "ptr", "run", "s.*").where("side <> 0")
+    sides = stored(of_two(sided, "ptr", "right", "side").drop("lo"), "sides")
+    chosen = stored(sided.join(sides, ["ptr", "right", "side"]).select(*key, (F.col("run") * 2 + F.col("right")).alias("run")), "chosen")
+    discard(sides)
+    # 4. Windows, refined by the bucket at offset 18.
+    listed = chosen.groupBy(*key).agg(F.collect_set("run").alias("runs"))
+    windows = made(real.join(listed, key).select(*key, "text", "runs"), ["at", "more", "window"], _opened, "windows")
+    discard(chosen)
+    early = stored(of_two(windows, "at", "more"), "early")
+    single = windows.join(early, ["at", "more"]).where("doc_id > lo").select(*key, (F.col("window") * _SIX + 1).alias("gone"))
+    late = stored(whole.union(single), "late")
+    discard(windows, early, judged)
+    gone = late.groupBy(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).agg(F.collect_set("gone").alias("gone"))
+    gone = stored(gone, "gone")
+    discard(late)
+    left = texts.join(gone, (texts["doc_id"] == gone["_doc"]) & (texts["rid"] == gone["_rid"]), "left").select("doc_id", "text", "gone")
+    return left.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import new_path, release
+from tarn.llm._shared import new_path, save
 
 LEAST = 100
 #: Fixed value: the profile that the WARC 1.1 standard names for revisits of equal payloads.
@@ -78,11 +78,9 @@ def write(pages: DataFrame, least: int = LEAST) -> Archive:
     typed = facts.join(first.select("digest", "first"), "digest")
     original = (F.col("n") < least) | F.coalesce(F.col("page_id") == F.col("first"), F.col("first").isNull())
     typed = typed.withColumn("record_type", F.when(original, "response").otherwise("revisit"))
-    typed.select("page_id", "digest", F.encode(_head(), "UTF-8").alias("head")).write.parquet(made.heads)
+    save(typed.select("page_id", "digest", F.encode(_head(), "UTF-8").alias("head")), made.heads)
     # Copies of one payload meet in their map task first, so each task sends a payload once; no row needs to be found again.
-    named.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(made.payloads)
-    del at, named, facts, first, typed
-    release(spark)
+    save(named.groupBy("digest").agg(F.first("payload").alias("payload")), made.payloads)
     return made
 
 

@@ -507,6 +507,15 @@ def test_suffix_dedup_in_chunks(spark, monkeypatch):
     assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == listed(brute_cut(texts))
 
 
+def test_suffix_dedup_of_rows_that_share_an_id_and_of_long_texts(spark):
+    rng = random.Random(13)
+    part = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    long = part(1_300_000)
+    texts = [(2, long), (1, long[1_048_500:1_048_700] + part(90)), (3, part(70) + long[900:1000]), (3, long[5000:5200] + part(30)), (3, long[5000:5200] + part(30)), (7, long[5000:5200] * 2), (7, long[5000:5200] * 2)]
+    found = suffix_dedup.cut(spark.createDataFrame(texts, "doc_id long, text string")).selectExpr("doc_id", "n_bytes", "n_removed", "size(starts) n_spans", "kept_sha256")
+    assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == listed(brute_cut(texts))
+
+
 def test_suffix_dedup_of_nothing(none):
     assert rows(suffix_dedup.cut(none)) == []
 
