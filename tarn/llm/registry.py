@@ -98,9 +98,10 @@ ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         n AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '{_WORD}')) AS w FROM d),
-        k AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, ls, w FROM n WHERE len(w) >= 3),
-        f AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY ls[w[i]] || chr(10) || ls[w[i + 1]] || chr(10) || ls[w[i + 2]] ORDER BY doc_id, i) AS place FROM k),
-        g AS (SELECT DISTINCT doc_id, unnest([w[i], w[i + 1], w[i + 2]]) AS line FROM f WHERE place > 1),
+        k AS (SELECT doc_id, i, m, w, array_to_string(list_transform(range(i, i + m), lambda j: ls[w[j]]), chr(10)) AS t
+              FROM (SELECT doc_id, ls, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM n, (VALUES (1), (2), (3)) v(m) WHERE len(w) >= m)),
+        f AS (SELECT doc_id, i, m, w, row_number() OVER (PARTITION BY m, t ORDER BY doc_id, i) AS place FROM k WHERE m = 3 OR len(regexp_extract_all(t, '{_WORD}')) >= 50),
+        g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(i, i + m), lambda j: w[j])) AS line FROM f WHERE place > 1),
         a AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM n),
         kept AS (SELECT a.doc_id, string_agg(t, chr(10) ORDER BY line) AS text FROM a ANTI JOIN g ON a.doc_id = g.doc_id AND a.line = g.line GROUP BY a.doc_id)
         SELECT n.doc_id, CAST(len(w) AS BIGINT) AS n_lines, coalesce(x.c, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256

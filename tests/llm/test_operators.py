@@ -520,49 +520,73 @@ def test_suffix_dedup_of_nothing(none):
     assert rows(suffix_dedup.cut(none)) == []
 
 
-def test_line_dedup(docs):
-    seen, expected = set(), []
-    for i, t in sorted({x for x in some_texts()}, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None)):
+def brute_lines(texts, words=50):
+    """(doc_id, n_lines, n_removed, text): windows of three lines with a word, or fewer of enough words, go where they stand earlier."""
+    seen, found = set(), []
+    for i, t in sorted(set(texts), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None)):
         lines = (t or "").split("\n")
         worded = [k for k, line in enumerate(lines) if W.search(line)]
         gone = set()
-        for k in range(len(worded) - 2):
-            key = tuple(lines[worded[k + z]] for z in range(3))
-            if key in seen:
-                gone |= {worded[k + z] for z in range(3)}
-            seen.add(key)
-        expected.append((i, len(worded), len(gone), str(None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))))
+        for n in (3,) if words is None else (1, 2, 3):
+            for k in range(len(worded) - n + 1):
+                key = tuple(lines[j] for j in worded[k : k + n])
+                if n == 3 or sum(len(W.findall(x)) for x in key) >= words:
+                    gone |= set(worded[k : k + n]) if key in seen else set()
+                    seen.add(key)
+        found.append((i, len(worded), len(gone), str(None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))))
+    return found
+
+
+@pytest.mark.parametrize("words", [None, 15, 50])
+def test_line_dedup(docs, words):
+    expected = brute_lines(some_texts(), words)
     expected.append(next(x for x in expected if x[0] == 44))
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, words=words)
     assert by_id(found.selectExpr("doc_id", "n_lines", "n_removed", "coalesce(text, 'None') text"), "n_lines", "n_removed", "text") == listed(expected)
     assert found.columns == [*docs.columns, "n_lines", "n_removed"]
 
 
+def test_line_dedup_of_lines_from_a_small_pool(spark):
+    """Every window has many earlier ones, in the document itself too."""
+    rng = random.Random(31)
+    pool = ["a", "b c", "d " * 9, " ".join("ef" for _ in range(30)), "x " * 60, " ", ""]
+    texts = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(120)]
+    found = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert by_id(found, "n_lines", "n_removed", "text") == listed(brute_lines(texts))
+
+
 def test_line_dedup_of_short_runs(spark):
     line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
     long, a, b, short = line("l", 60), line("a", 26), line("b", 26), line("s", 20)
     texts = [(0, f"{long}\nx\n{a}\n{b}\ny\n{short}"), (1, long), (2, f"u\n\n{long}\nv"), (3, f"{b}\nw\n{a}\n\n{b}\nz"), (4, f"{short}\n{a}"), (5, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     cut = {1: "", 2: "u\n\nv", 3: f"{b}\nw\n\nz"}
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, words=50).collect()} == {i: cut.get(i, t) for i, t in texts}
-    assert line_dedup.dedup(docs).agg({"n_removed": "sum"}).first()[0] == 0
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs).collect()} == {i: cut.get(i, t) for i, t in texts}
+    assert line_dedup.dedup(docs, words=None).agg({"n_removed": "sum"}).first()[0] == 0
 
 
-def test_line_dedup_of_short_runs_by_brute_force(spark):
-    seen, expected = set(), []
-    texts = sorted({(i, t) for i, t in some_texts() if i is not None and t is not None})
-    for i, t in texts:
-        lines = [x for x in t.split("\n") if W.search(x)]
-        gone = set()
-        for n in (1, 2, 3):
-            for k in range(len(lines) - n + 1):
-                key = tuple(lines[k : k + n])
-                if n == 3 or sum(len(W.findall(x)) for x in key) >= 15:
-                    gone |= set(range(k, k + n)) if key in seen else set()
-                    seen.add(key)
-        expected.append((i, len(lines), len(gone)))
-    found = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string"), words=15)
-    assert by_id(found, "n_lines", "n_removed") == listed(expected)
+def test_line_dedup_stores_only_window_minima(spark):
+    """Windows of three: at random about half of the lines are selected, and each three in a row hold one."""
+    docs = spark.createDataFrame([(1, "\n".join(f"line {k * 7919 % 1009}" for k in range(1000)))], "doc_id long, text string")
+    chosen = {r["i"] for r in line_dedup.fingerprints(docs).collect()}
+    assert 450 < len(chosen) < 560 and all(chosen & {k, k + 1, k + 2} for k in range(998))
+
+
+@pytest.mark.parametrize("name", ["gone", "n_lines", "n_removed", "_rid", "drop", "row", "lines", "own_id", "i"])
+def test_line_dedup_beside_a_column_of_a_name_it_uses(spark, name):
+    texts = [(0, "a\nb\nc"), (1, "a\nb\nc\nd")]
+    found = line_dedup.dedup(spark.createDataFrame([(*t, f"kept {t[0]}") for t in texts], f"doc_id long, text string, `{name}` string"))
+    assert found.columns[:3] == ["doc_id", "text", name] and len(set(found.columns)) == 5
+    assert [tuple(r)[1:4] for r in found.orderBy("doc_id").collect()] == [("a\nb\nc", "kept 0", 3), ("d", "kept 1", 4)]
+
+
+def test_line_dedup_of_a_long_text(spark):
+    rng = random.Random(32)
+    text = "\n".join(" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    assert len(text) > 1_000_000
+    texts = [(1, text), (2, text[500_000:500_400]), (3, text[:300])]
+    found = line_dedup.dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert by_id(found, "n_lines", "n_removed", "text") == listed(brute_lines(texts))
 
 
 def test_line_dedup_of_nothing(none):
