@@ -24,11 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; a document of which no word is left goes with them. n_chars follows the text."""
     configure(spark)
-    cut = line_dedup.dedup(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = line_dedup.cut(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    made = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return left.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
