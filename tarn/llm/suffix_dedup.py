@@ -1,22 +1,23 @@
 """Removal of byte strings that an earlier document holds, by bucket-pointer refinement of suffixes.
 
 Suffixes are put into buckets by their first bytes, and a bucket is refined by sorting its pointers on the bucket
-identifiers of other offsets: the bucket of 2m bytes at p follows from those of m bytes at p and at p + m, so the
-identifiers of 16 bytes are reused for 32 and those of 32 for the 50 (LENGTH) that count. An identifier is a 64-bit
+identifiers of other offsets: the bucket of 2m bytes at p follows from those of m bytes at p and at p + m, so identifiers
+of 16 bytes are reused for 24 and 32 and those of 32 for 42 and for the 50 (LENGTH) that count. An identifier is a 64-bit
 number that follows from the bytes, so every task names equal buckets alike; buckets meet in Spark's shuffles and sorts.
 
 Only some suffixes are pointers, since a row for each byte would be about sixteen times the input in one shuffle: of the
-16-byte buckets of a window of LENGTH bytes the one with the least identifier (the leftmost of equals). Successive
-windows share a pointer, and such a run of windows is one row. Equal windows have equal pointers at equal offsets.
-
-1. q-gram buckets: (bucket of 16 bytes at the pointer). Those of a single document are resolved.
-2. Pointers are refined by the buckets of LENGTH bytes at the first and at the last window of their run. A pointer whose
-   refined bucket an earlier document is in goes with its whole run; where all pointers of a q-gram bucket stay in one
-   refined bucket, it is resolved.
-3. Other pointers, of the first document of each refined bucket, are refined by the 32-byte buckets that end with and
-   begin at their 16 bytes; every window holds one of the two.
-4. Where another document is in that bucket too, runs are opened into windows, and the bucket of each window's first 32
-   bytes is refined by the bucket at offset 18. Windows whose refined bucket an earlier document is in go.
+24-byte buckets (POINTER) of a window of LENGTH bytes the one with the least identifier, the leftmost of equals.
+Successive windows share a pointer, and such a run of windows is one row. Equal windows have equal pointers at equal
+offsets. Runs up to the next pointer whose identifier ends with four zero bits are a segment.
+
+1. A segment (by 128 bits over its bytes) that an earlier document has goes as a whole.
+2. q-gram buckets: the pointers of other segments. Buckets of a single document are resolved.
+3. They are refined by the buckets of LENGTH bytes at the first and at the last window of a run. A run whose refined
+   bucket an earlier document is in goes; where all runs of a q-gram bucket stay in one refined bucket, it is resolved.
+4. Other runs, of the first document of each refined bucket, are refined by the 42-byte buckets at three offsets about
+   the pointer; every window holds one of the three.
+5. Where another document is in that bucket too, the windows that hold it are opened, and the bucket of a window's first
+   32 bytes is refined by the bucket at offset 18. Windows whose refined bucket an earlier document is in go.
 """
 
 from __future__ import annotations
@@ -26,18 +27,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._shared import discard, stored
 
 LENGTH = 50
-_POINTER = 16
-#: Bytes that are looked at together: bounds memory for very long texts, and changes no result.
-CHUNK = 1 << 20
+POINTER = 24
+SIDE = 42
+#: How far before a pointer the 42-byte buckets begin; a window with the pointer at offset k holds number k // 9.
+_SIDES = (0, 9, 18)
+#: Windows that are looked at together: bounds memory for very long texts, and changes no result.
+CHUNK = 1 << 16
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 21) - 1)
+_SEGMENT = np.uint64(15)
 #: Numbers of windows and offsets within a window are below this.
 _SIX = 64
 
@@ -47,65 +53,121 @@ def _refine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a * _K1
     x += b
     x ^= x >> np.uint64(32)
-    x *= _K2
-    x ^= x >> np.uint64(29)
     return x
 
 
-def _buckets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Of 16 and of 32 bytes at every place."""
+def _buckets(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of 16, of POINTER and of 32 bytes at every place."""
     b = _BYTES[np.frombuffer(data, np.uint8)]
     for step in (1, 2, 4, 8):
         b = _refine(b[:-step], b[step:])
-    return b, _refine(b[:-16], b[16:])
-
-
-def _chunks(data: bytes) -> Iterator[tuple[int, bytes]]:
-    for at in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
-        yield at, data[at : at + CHUNK + LENGTH - 1]
+    b *= _K2
+    return b, _refine(b[: 16 - POINTER], b[POINTER - 16 :]) * _K2, _refine(b[:-16], b[16:])
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _rows(names: list[str], of: Callable[[bytes, np.ndarray | None], Iterator[list[np.ndarray]]]):
-    """(doc_id, rid, text[, numbers]) -> what `of` makes of each text, with doc_id and rid, in batches of bounded size."""
+class _Buffer:
+    """Pieces of texts, looked at together. A piece has at most CHUNK windows: (number of the text, its place there, place in the buffer, windows)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns], names=names)
+    def __init__(self) -> None:
+        self.data, self.pieces, self.size = [], [], 0
 
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            held = 0
-            numbers = batch.column(3) if batch.num_columns > 3 else [None] * batch.num_rows
-            for doc_id, rid, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), numbers, strict=True):
-                for found in of(_bytes(text.as_py()), None if own is None else np.sort(own.values.to_numpy(zero_copy_only=False))):
-                    n = len(found[0])
-                    for c, v in zip(columns, [*found, np.full(n, doc_id, np.int64), np.full(n, rid, np.int64)], strict=True):
-                        c.append(v.view(np.int64))
-                    held += n
-                    if held > 200_000:
-                        yield batch_of(columns)
-                        columns, held = [[] for _ in names], 0
-            yield batch_of(columns)
+    def add(self, row: int, at: int, piece: bytes) -> None:
+        self.pieces.append((row, at, self.size, len(piece) - LENGTH + 1))
+        self.data.append(piece)
+        self.size += len(piece)
 
-    return run
+    def table(self) -> np.ndarray:
+        return np.array(self.pieces, np.int64).reshape(-1, 4)
+
+
+def _buffers(texts: pa.Array) -> Iterator[_Buffer]:
+    made = _Buffer()
+    for row, text in enumerate(texts):
+        data = _bytes(text.as_py())
+        for at in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
+            made.add(row, at, data[at : at + CHUNK + LENGTH - 1])
+            if made.size >= CHUNK:
+                yield made
+                made = _Buffer()
+    if made.pieces:
+        yield made
+
+
+def _pieces(offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """offset, offset + 1, ... for each offset, as many as its size."""
+    return np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _pointers(data: bytes, _: None) -> Iterator[list[np.ndarray]]:
-    """Bucket and run of each pointer; a run is its first window, its number of windows and its pointer's offset in one number."""
-    for at, chunk in _chunks(data):
-        b, _ = _buckets(chunk)
-        least = (b & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
-        for step in (1, 2, 4, 8, 16):
-            least = np.minimum(least[:-step], least[step:])
-        rest = LENGTH - _POINTER + 1 - 32
-        place = (np.minimum(least[:-rest], least[rest:]) & _PLACE).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        size = np.diff(np.append(first, len(place)))
-        yield [b[place[first]], ((first + at) * _SIX + size) * _SIX + place[first] - first]
+_SEGMENTS = "seg_a long, seg_b long, start long, size long, ptrs array<long>, runs array<long>, doc_id long, rid long"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rid, text) -> a row for each segment, with the pointers and runs in it."""
+    names = [part.split()[0] for part in _SEGMENTS.split(", ")]
+    for batch in batches:
+        docs, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for buffer in _buffers(batch.column(2)):
+            data, table = b"".join(buffer.data), buffer.table()
+            _, b, _ = _buckets(data)
+            least = (b & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
+            for step in (1, 2, 4, 8):
+                least = np.minimum(least[:-step], least[step:])
+            rest = LENGTH - POINTER + 1 - 16
+            place = (np.minimum(least[:-rest], least[rest:]) & _PLACE).astype(np.int64)
+            window = _pieces(table[:, 2], table[:, 3])
+            piece = np.repeat(np.arange(len(table)), table[:, 3])
+            place = place[window]
+            first = np.concatenate([[0], np.flatnonzero((place[1:] != place[:-1]) | (piece[1:] != piece[:-1])) + 1])
+            size = np.diff(np.append(first, len(place)))
+            ptr, of = b[place[first]], piece[first]
+            start = window[first] - table[of, 2] + table[of, 1]
+            runs = (start * _SIX + size) * _SIX + place[first] - window[first]
+            head = np.flatnonzero(((ptr & _SEGMENT) == 0) | np.concatenate([[True], of[1:] != of[:-1]]))
+            ends = np.append(head[1:], len(first))
+            low, high = window[first[head]], window[first[ends - 1]] + size[ends - 1] + LENGTH - 1
+            ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(low.tolist(), high.tolist(), strict=True)), np.int64).reshape(-1, 2)
+            offsets = pa.array(np.append(head, len(first)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ptr.view(np.int64), runs)]
+            row = table[of[head], 0]
+            plain = [np.ascontiguousarray(ids[:, 0]), np.ascontiguousarray(ids[:, 1]), start[head], high - low - LENGTH + 1]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, plain), *lists, pa.array(docs[row]), pa.array(rids[row])], names=names)
+
+
+def _of_runs(names: list[str], scale: int, of: Callable[[str, np.ndarray, np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]):
+    """(doc_id, rid, text, runs) -> rows of 64-bit numbers made from the buckets and runs of a buffer, with doc_id and rid.
+
+    of: (data, run, where its text begins in the buffer) -> columns, and for each row the number of its run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(3)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            row_of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            order = np.lexsort((flat, row_of))
+            flat, row_of = flat[order], row_of[order]
+            starts = flat // (scale * _SIX * _SIX)
+            bounds = np.searchsorted(row_of, np.arange(len(lists) + 1))
+            for buffer in _buffers(batch.column(2)):
+                chosen, shift = [], []
+                for row, at, offset, _ in buffer.pieces:
+                    own = starts[bounds[row] : bounds[row + 1]]
+                    lo, hi = bounds[row] + np.searchsorted(own, [at, at + CHUNK])
+                    if lo < hi:
+                        chosen.append(np.arange(lo, hi))
+                        shift.append(np.full(hi - lo, offset - at))
+                if chosen:
+                    at = np.concatenate(chosen)
+                    columns, which = of(b"".join(buffer.data), flat[at], np.concatenate(shift))
+                    row = row_of[at][which]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(docs[row]), pa.array(rids[row])], names=names)
+
+    return run
 
 
 def _parts(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,41 +175,36 @@ def _parts(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run // (_SIX * _SIX), run // _SIX % _SIX, run % _SIX
 
 
-def _by_chunk(data: bytes, runs: np.ndarray, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Of ascending runs (times scale) of some bytes: buckets of 16 and of 32 bytes of a chunk, its runs, and where it begins."""
-    starts = _parts(runs // scale)[0]
-    for at, chunk in _chunks(data):
-        lo, hi = np.searchsorted(starts, [at, at + CHUNK])
-        if lo < hi:
-            yield *_buckets(chunk), runs[lo:hi], at
+def _sided(offset: np.ndarray, size: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run's windows, the first that holds side k, and how many do."""
+    first = np.clip(offset - (9 * k + 8), 0, size)
+    return first, np.clip(offset - 9 * k + 1, 0, size) - first
 
 
-def _refined(data: bytes, runs: np.ndarray) -> Iterator[list[np.ndarray]]:
-    """Of each run: ptr, the buckets of its first and its last window, the 32-byte buckets left and right (0 where no window has them), and run."""
-    more = LENGTH - 32
-    for b16, b32, run, at in _by_chunk(data, runs, 1):
-        first, size, offset = _parts(run)
-        first = first - at
-        last, pointer = first + size - 1, first + offset
-        left = np.where(offset >= 16, b32[np.maximum(pointer - 16, 0)], np.uint64(0))
-        right = np.where(pointer - last < 16, b32[np.minimum(pointer, len(b32) - 1)], np.uint64(0))
-        yield [b16[pointer], _refine(b32[first], b32[first + more]), _refine(b32[last], b32[last + more]), left, right, run]
+def _refined(data: bytes, run: np.ndarray, shift: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each run: ptr, the buckets of its first and its last window, the 42-byte buckets (0 where no window has them), and run."""
+    _, b24, b32 = _buckets(data)
+    first, size, offset = _parts(run)
+    first = first + shift
+    last, pointer = first + size - 1, first + offset
+    of = lambda at, length: _refine(b32[at], b32[at + length - 32])
+    sides = [np.where(_sided(offset, size, k)[1] > 0, of(np.clip(pointer - back, 0, len(data) - SIDE), SIDE), np.uint64(0)) for k, back in enumerate(_SIDES)]
+    return [b24[pointer], of(first, LENGTH), of(last, LENGTH), *sides, run], np.arange(len(run))
 
 
-def _opened(data: bytes, runs: np.ndarray) -> Iterator[list[np.ndarray]]:
-    """Of runs (times two, plus one for the right side): bucket, bucket at offset 18 and place of the windows that hold that side."""
-    for _, b32, run, at in _by_chunk(data, runs, 2):
-        right = run % 2 > 0
-        first, size, offset = _parts(run // 2)
-        # Windows that begin at least 16 bytes before the pointer hold the left side, others the right one.
-        lefts = np.clip(offset - 15, 0, size)
-        skip, n = np.where(right, lefts, 0), np.where(right, size - lefts, lefts)
-        window = np.repeat(first + skip - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        yield [b32[window - at], b32[window - at + LENGTH - 32], window]
+def _opened(data: bytes, run: np.ndarray, shift: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of runs (times four, plus the number of a side): bucket, bucket at offset 18 and place of the windows that hold that side."""
+    _, _, b32 = _buckets(data)
+    side = run % 4
+    first, size, offset = _parts(run // 4)
+    skip, n = (np.choose(side, x) for x in zip(*(_sided(offset, size, k) for k in range(len(_SIDES))), strict=True))
+    window, which = _pieces(first + skip, n), np.repeat(np.arange(len(run)), n)
+    at = window + shift[which]
+    return [b32[at], b32[at + LENGTH - 32], window], which
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, gone) -> the document's figures and what is left of it. gone: first windows and how many there are, in one number."""
+    """(doc_id, text, starts, sizes) -> the document's figures and what is left of it; of `sizes` windows from each start all bytes go."""
     for batch in batches:
         rows = []
         for doc_id, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -155,9 +212,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not gone.is_valid:
                 rows.append((doc_id, len(data), 0, [], [], hashlib.sha256(data).hexdigest()))
                 continue
-            windows = np.sort(gone.values.to_numpy(zero_copy_only=False))
-            start = windows // _SIX
-            reach = np.maximum.accumulate(start + windows % _SIX + LENGTH - 1)
+            spans = np.sort(gone.values.to_numpy(zero_copy_only=False))
+            start = spans >> 24
+            reach = np.maximum.accumulate(start + (spans & 0xFFFFFF) + LENGTH - 1)
             # A removed run begins where no earlier one reaches.
             new = np.concatenate([[True], start[1:] > reach[:-1]])
             starts, ends = start[new].tolist(), reach[np.append(new[1:], True)].tolist()
@@ -183,22 +240,33 @@ def cut(docs: DataFrame) -> DataFrame:
     texts = all_.join(several, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.when(F.col("_id").isNotNull(), own).otherwise(F.lit(0).cast("long")).alias("rid"), "text")
     real = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
 
-    def made(rows: DataFrame, names: list[str], of, name: str) -> DataFrame:
+    def of_runs(lists: DataFrame, names: list[str], scale: int, of, name: str) -> DataFrame:
         names = [*names, *key]
-        return stored(rows.mapInArrow(_rows(names, of), ", ".join(f"{n} long" for n in names)), name)
+        rows = real.join(lists.groupBy(*key).agg(F.collect_set("run").alias("runs")), key).select(*key, "text", "runs")
+        return stored(rows.mapInArrow(_of_runs(names, scale, of), ", ".join(f"{n} long" for n in names)), name)
 
     def of_two(rows: DataFrame, *by: str) -> DataFrame:
         """The values that more than one document has, and the first of these; a task sends one row for each value."""
         return rows.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*by, "lo")
 
-    # 1. Buckets of 16 bytes.
-    pointers = made(real, ["ptr", "run"], _pointers, "pointers")
+    # What goes is (first window, number of windows) in one number; runs and windows are short, and a segment has at most CHUNK.
+    span = lambda start, size: start * (1 << 24) + size
+    # 1. Segments.
+    segments = stored(real.select(*key, "text").mapInArrow(_segments, _SEGMENTS), "segments")
+    lows = stored(of_two(segments, "seg_a", "seg_b"), "segment-lows")
+    compared = segments.join(lows, ["seg_a", "seg_b"], "left")
+    late = F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))
+    gone = [stored(segments.drop("ptrs", "runs").join(lows, ["seg_a", "seg_b"]).where(late).select(*key, span(F.col("start"), F.col("size")).alias("gone")), "whole-segments")]
+    zipped = F.explode(F.arrays_zip("ptrs", "runs"))
+    pointers = stored(compared.where(~late).select(*key, zipped.alias("p")).select("p.ptrs", "p.runs", *key).toDF("ptr", "run", *key), "pointers")
+    discard(segments, lows)
+    # 2. q-gram buckets.
     shared = stored(of_two(pointers, "ptr").select("ptr"), "buckets")
     met = stored(pointers.join(shared, "ptr").select(*key, "run"), "met")
     discard(pointers, shared)
-    # 2. Refined by the buckets of the first and the last window.
-    listed = met.groupBy(*key).agg(F.collect_set("run").alias("runs"))
-    refined = made(real.join(listed, key).select(*key, "text", "runs"), ["ptr", "first", "last", "left", "right", "run"], _refined, "refined")
+    # 3. Refined by the buckets of the first and the last window.
+    sides = [f"side_{k}" for k in range(len(_SIDES))]
+    refined = of_runs(met, ["ptr", "first", "last", *sides, "run"], 1, _refined, "refined")
     discard(met)
     bucket = ["ptr", "first", "last", "span"]
     spanned = refined.withColumn("span", F.col("run") % (_SIX * _SIX))
@@ -206,25 +274,23 @@ def cut(docs: DataFrame) -> DataFrame:
     open_ = lows.groupBy("ptr").agg(F.count("*").alias("n")).where("n > 1").select("ptr", F.lit(True).alias("open"))
     marked = stored(lows.join(open_, "ptr", "left"), "marked")
     discard(lows)
-    judged = stored(spanned.join(marked, bucket).where("doc_id > lo OR open").select(*key, "ptr", "left", "right", "run", (F.col("doc_id") > F.col("lo")).alias("late")), "judged")
+    judged = stored(spanned.join(marked, bucket).where("doc_id > lo OR open").select(*key, "ptr", *sides, "run", late.alias("late")), "judged")
     discard(refined, marked)
-    whole = judged.where("late").select(*key, (F.expr(f"run DIV {_SIX}")).alias("gone"))
-    # 3. Refined by the buckets beside the pointer.
-    sided = judged.where("NOT late").select(*key, "ptr", "run", F.explode(F.array(F.struct(F.lit(0).alias("right"), F.col("left").alias("side")), F.struct(F.lit(1).alias("right"), F.col("right").alias("side")))).alias("s"))
-    sided = sided.select(*key, "ptr", "run", "s.*").where("side <> 0")
-    sides = stored(of_two(sided, "ptr", "right", "side").drop("lo"), "sides")
-    chosen = stored(sided.join(sides, ["ptr", "right", "side"]).select(*key, (F.col("run") * 2 + F.col("right")).alias("run")), "chosen")
-    discard(sides)
-    # 4. Windows, refined by the bucket at offset 18.
-    listed = chosen.groupBy(*key).agg(F.collect_set("run").alias("runs"))
-    windows = made(real.join(listed, key).select(*key, "text", "runs"), ["at", "more", "window"], _opened, "windows")
+    gone.append(stored(judged.where("late").select(*key, span(F.expr(f"run DIV {_SIX * _SIX}"), F.expr(f"run DIV {_SIX} % {_SIX}")).alias("gone")), "whole-runs"))
+    # 4. Refined by the buckets about the pointer.
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("side")) for k, c in enumerate(sides)]))
+    sided = judged.where("NOT late").select(*key, "ptr", "run", each.alias("s")).select(*key, "ptr", "run", "s.*").where("side <> 0")
+    both = stored(of_two(sided, "ptr", "k", "side").drop("lo"), "sides")
+    chosen = stored(sided.join(both, ["ptr", "k", "side"]).select(*key, (F.col("run") * 4 + F.col("k")).alias("run")), "chosen")
+    discard(judged, both)
+    # 5. Windows, refined by the bucket at offset 18.
+    windows = of_runs(chosen, ["at", "more", "window"], 4, _opened, "windows")
     discard(chosen)
     early = stored(of_two(windows, "at", "more"), "early")
-    single = windows.join(early, ["at", "more"]).where("doc_id > lo").select(*key, (F.col("window") * _SIX + 1).alias("gone"))
-    late = stored(whole.union(single), "late")
-    discard(windows, early, judged)
-    gone = late.groupBy(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).agg(F.collect_set("gone").alias("gone"))
-    gone = stored(gone, "gone")
-    discard(late)
-    left = texts.join(gone, (texts["doc_id"] == gone["_doc"]) & (texts["rid"] == gone["_rid"]), "left").select("doc_id", "text", "gone")
+    gone.append(stored(windows.join(early, ["at", "more"]).where("doc_id > lo").select(*key, span(F.col("window"), F.lit(1)).alias("gone")), "late-windows"))
+    discard(windows, early)
+    listed = gone[0].union(gone[1]).union(gone[2]).groupBy(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).agg(F.collect_set("gone").alias("gone"))
+    listed = stored(listed, "gone")
+    discard(*gone)
+    left = texts.join(listed, (texts["doc_id"] == listed["_doc"]) & (texts["rid"] == listed["_rid"]), "left").select("doc_id", "text", "gone")
     return left.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept_sha256 string")
