@@ -12,6 +12,7 @@ import tarn
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarn.session import configure
 
@@ -44,13 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tarn/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, path: str) -> None:
-    """Writes Parquet; shuffle files behind it go at once."""
+def save(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Writes Parquet, in a folder for each value of `by`; shuffle files behind it go at once."""
     spark = configure(df.sparkSession)
     before = spark.conf.get(_FILES_GO, "false")
     spark.conf.set(_FILES_GO, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*[by] * bool(by)).parquet(path)
     finally:
         spark.conf.set(_FILES_GO, before)
 
@@ -63,12 +64,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     save(df, path)
-    made = spark.read.schema(df.schema).parquet(path)
+    return _found(spark, path, df.schema)
+
+
+def _found(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    made = spark.read.schema(schema).parquet(path)
     _FOLDERS[made] = path
     _LEFT[path] = spark
     return made
 
 
+def sliced(df: DataFrame, name: str, key: Column, n: int) -> list[DataFrame]:
+    """The rows as stored() keeps them, in n frames by the key: what is joined slice by slice has only a slice in shuffle files."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    save(df.withColumn("_slice", F.pmod(key, F.lit(n)).cast("int")), path, "_slice")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(n):  # a slice without rows has no folder yet
+        files.mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_slice={k}"))
+    return [_found(spark, f"{path}/_slice={k}", df.schema) for k in range(n)]
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() has written for these frames; nothing that is still to be run may read them."""
     for frame in frames:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import discard, stored
+from tarn.llm._shared import discard, sliced, stored
 
 LENGTH = 50
 POINTER = 24
@@ -44,6 +45,8 @@ _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLACE = np.uint64((1 << 21) - 1)
 _SEGMENT = np.uint64(15)
+#: Segments and pointers are compared in so many slices, one after the other, so that only a slice is in shuffle files.
+SLICES = 4
 #: Numbers of windows and offsets within a window are below this.
 _SIX = 64
 
@@ -102,7 +105,7 @@ def _pieces(offsets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(offsets - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-_SEGMENTS = "seg_a long, seg_b long, start long, size long, ptrs array<long>, runs array<long>, doc_id long, rid long"
+_SEGMENTS = "seg_a long, seg_b long, start long, size long, ptrs array<long>, starts array<int>, spans array<short>, doc_id long, rid long"
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +128,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(np.append(first, len(place)))
             ptr, of = b[place[first]], piece[first]
             start = window[first] - table[of, 2] + table[of, 1]
-            runs = (start * _SIX + size) * _SIX + place[first] - window[first]
+            spans = size * _SIX + place[first] - window[first]
             head = np.flatnonzero(((ptr & _SEGMENT) == 0) | np.concatenate([[True], of[1:] != of[:-1]]))
             ends = np.append(head[1:], len(first))
             low, high = window[first[head]], window[first[ends - 1]] + size[ends - 1] + LENGTH - 1
             ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(low.tolist(), high.tolist(), strict=True)), np.int64).reshape(-1, 2)
             offsets = pa.array(np.append(head, len(first)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ptr.view(np.int64), runs)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ptr.view(np.int64), start.astype(np.int32), spans.astype(np.int16))]
             row = table[of[head], 0]
             plain = [np.ascontiguousarray(ids[:, 0]), np.ascontiguousarray(ids[:, 1]), start[head], high - low - LENGTH + 1]
             yield pa.RecordBatch.from_arrays([*map(pa.array, plain), *lists, pa.array(docs[row]), pa.array(rids[row])], names=names)
@@ -252,22 +255,29 @@ def cut(docs: DataFrame) -> DataFrame:
     # What goes is (first window, number of windows) in one number; runs and windows are short, and a segment has at most CHUNK.
     span = lambda start, size: start * (1 << 24) + size
     # 1. Segments.
-    segments = stored(real.select(*key, "text").mapInArrow(_segments, _SEGMENTS), "segments")
-    lows = stored(of_two(segments, "seg_a", "seg_b"), "segment-lows")
-    compared = segments.join(lows, ["seg_a", "seg_b"], "left")
     late = F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))
-    gone = [stored(segments.drop("ptrs", "runs").join(lows, ["seg_a", "seg_b"]).where(late).select(*key, span(F.col("start"), F.col("size")).alias("gone")), "whole-segments")]
-    zipped = F.explode(F.arrays_zip("ptrs", "runs"))
-    pointers = stored(compared.where(~late).select(*key, zipped.alias("p")).select("p.ptrs", "p.runs", *key).toDF("ptr", "run", *key), "pointers")
-    discard(segments, lows)
+    gone, parts = [], []
+    zipped = F.explode(F.arrays_zip("ptrs", "starts", "spans")).alias("p")
+    for segments in sliced(real.select(*key, "text").mapInArrow(_segments, _SEGMENTS), "segments", F.col("seg_a"), SLICES):
+        lows = stored(of_two(segments, "seg_a", "seg_b"), "segment-lows")
+        whole = segments.join(lows, ["seg_a", "seg_b"]).where(late)
+        gone.append(stored(whole.select(*key, span(F.col("start"), F.col("size")).alias("gone")), "whole-segments"))
+        first = segments.join(lows, ["seg_a", "seg_b"], "left").where(~late).select(*key, zipped)
+        run = F.col("p.starts").cast("long") * (_SIX * _SIX) + F.col("p.spans")
+        parts.append(sliced(first.select(F.col("p.ptrs").alias("ptr"), run.alias("run"), *key), "pointers", F.col("ptr"), SLICES))
+        discard(segments, lows)
     # 2. q-gram buckets.
-    shared = stored(of_two(pointers, "ptr").select("ptr"), "buckets")
-    met = stored(pointers.join(shared, "ptr").select(*key, "run"), "met")
-    discard(pointers, shared)
+    found = []
+    for same in zip(*parts, strict=True):
+        pointers = reduce(DataFrame.union, same)
+        shared = stored(of_two(pointers, "ptr").select("ptr"), "buckets")
+        found.append(stored(pointers.join(shared, "ptr").select(*key, "run"), "met"))
+        discard(*same, shared)
+    met = reduce(DataFrame.union, found)
     # 3. Refined by the buckets of the first and the last window.
     sides = [f"side_{k}" for k in range(len(_SIDES))]
     refined = of_runs(met, ["ptr", "first", "last", *sides, "run"], 1, _refined, "refined")
-    discard(met)
+    discard(*found)
     bucket = ["ptr", "first", "last", "span"]
     spanned = refined.withColumn("span", F.col("run") % (_SIX * _SIX))
     lows = stored(spanned.groupBy(*bucket).agg(F.min("doc_id").alias("lo")), "lows")
@@ -289,7 +299,7 @@ def cut(docs: DataFrame) -> DataFrame:
     early = stored(of_two(windows, "at", "more"), "early")
     gone.append(stored(windows.join(early, ["at", "more"]).where("doc_id > lo").select(*key, span(F.col("window"), F.lit(1)).alias("gone")), "late-windows"))
     discard(windows, early)
-    listed = gone[0].union(gone[1]).union(gone[2]).groupBy(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).agg(F.collect_set("gone").alias("gone"))
+    listed = reduce(DataFrame.union, gone).groupBy(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid")).agg(F.collect_set("gone").alias("gone"))
     listed = stored(listed, "gone")
     discard(*gone)
     left = texts.join(listed, (texts["doc_id"] == listed["_doc"]) & (texts["rid"] == listed["_rid"]), "left").select("doc_id", "text", "gone")
