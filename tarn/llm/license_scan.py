@@ -3,16 +3,18 @@
 All word k-grams of a text are hashed and joined to the k-gram positions of the templates. A hit at word i of the text
 and word j of a template votes for the diagonal i - j. Votes are counted for each document, template and diagonal, and
 diagonals that lie within `slack` words are merged, so that inserted or lost words do not split a match. Hits are
-verified word by word. A phrase template (the base) counts where one diagonal holds all its k-grams; a text template
-gives its label where the merged band holds at least `coverage` of them.
+verified word by word. A phrase template (the base) counts where one diagonal holds all its k-grams. A band of a text
+template is verified as a span: only hits in common order count, each place of the template once, found by going through
+the hits by word and keeping the longest chain of rising places; it gives its label where the chain holds at least
+`coverage` of the template's k-grams.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import ascii_lower, words_of
+from tarn.llm._shared import ascii_lower, stored, words_of
 
 K = 3
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -57,24 +59,43 @@ def hits(docs: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("doc_id", "row", "n_words", "i", *[F.when(real, F.col(c)).alias(c) for c in ("tid", "label", "base", "j", "n_grams")])
 
 
+def _chain(hits: Column, places: Column) -> Column:
+    """Of hits (i, j), the longest chain of rising i and j: how many, first i, last i. State: for each j the best chain that ends there."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["i"].alias("i"), (-h["j"]).alias("back"))))  # of one i the last place first, so none follows another
+
+    def step(best: Column, h: Column) -> Column:
+        j = -h["back"]
+        before = F.when(j > 0, F.array_max(F.slice(best, 1, F.greatest(j, F.lit(1))))).otherwise(none)
+        here = F.struct((before["n"] + 1).alias("n"), F.when(before["n"] > 0, before["first"]).otherwise(h["i"]).alias("first"), h["i"].alias("last"))
+        return F.transform(best, lambda x, k: F.when((k == j) & (here["n"] > x["n"]), here).otherwise(x))
+
+    return F.array_max(F.aggregate(ordered, F.transform(F.sequence(F.lit(1), places), lambda _: none), step))
+
+
 def scan(docs: DataFrame, coverage: float = 0.75, slack: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans, for each row of docs.
 
     spans: array of (label, base, first, last) by first word, last included. score: the largest share of a template's
-    k-grams that one band holds, 0 without a hit. Null text has no words. Repeated rows and null doc_ids each give
-    their own row; other columns are not looked at.
+    k-grams that one band holds in order, 0 without a hit. Null text has no words. Repeated rows and null doc_ids each
+    give their own row; other columns are not looked at. Rows are numbered when hits are stored, before anything is
+    shuffled, so a lost task can't number them otherwise.
     """
     known = templates(docs.sparkSession)
-    found = hits(docs, known).withColumn("diagonal", F.col("i") - F.col("j"))
+    found = stored(hits(docs, known), "hits").withColumn("diagonal", F.col("i") - F.col("j"))
     keys = ["row", "doc_id", "n_words"]
-    lines = found.groupBy(*keys, "tid", "label", "base", "n_grams", "diagonal").agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last"))
+    template = ["tid", "label", "base", "n_grams"]
+    lines = found.groupBy(*keys, *template, "diagonal").agg(F.count("*").alias("votes"), F.collect_list(F.when(~F.col("base"), F.struct("i", "j"))).alias("hits"))
     order = Window.partitionBy("row", "tid").orderBy("diagonal")
     new = F.coalesce("base", F.lit(True)) | (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(slack + 1)) > slack)
     marked = lines.withColumn("new", new.cast("int")).withColumn("band", F.sum("new").over(order))
-    merged = marked.groupBy(*keys, "tid", "label", "base", "n_grams", "band").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("at"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
-    share = F.when(F.col("tid").isNotNull(), F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0)))
+    merged = marked.groupBy(*keys, *template, "band").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("at"), F.flatten(F.collect_list("hits")).alias("hits"))
+    merged = merged.withColumn("chain", F.when(~F.col("base"), _chain(F.col("hits"), F.col("n_grams"))))
+    held = F.when(F.col("base"), F.col("votes")).otherwise(F.col("chain.n"))
+    share = F.when(F.col("tid").isNotNull(), held / F.col("n_grams"))
     full = F.coalesce(F.col("base") & (F.col("votes") == F.col("n_grams")), F.lit(False))
     named = full | F.coalesce(~F.col("base") & (share >= coverage), F.lit(False))
+    first, last = F.when(F.col("base"), F.col("at")).otherwise(F.col("chain.first")), F.when(F.col("base"), F.col("at") + F.col("n_grams") - 1).otherwise(F.col("chain.last")) + K - 1
     sorted_ = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return (
         merged.groupBy(*keys)
@@ -85,7 +106,7 @@ def scan(docs: DataFrame, coverage: float = 0.75, slack: int = 2) -> DataFrame:
             sorted_(F.when(full, F.col("label"))).alias("base_labels"),
             sorted_(F.when(named, F.col("label"))).alias("labels"),
             F.coalesce(F.max(share), F.lit(0.0)).alias("score"),
-            F.array_sort(F.collect_list(F.when(named, F.struct("first", "last", "label", "base")))).alias("spans"),
+            F.array_sort(F.collect_list(F.when(named, F.struct(first.alias("first"), last.alias("last"), F.col("label"), F.col("base"))))).alias("spans"),
         )
         .drop("row")
     )
