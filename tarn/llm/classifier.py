@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 A text becomes a sparse vector of hashed n-grams: words and pairs of words, and one to three successive word shapes
-(case, digits, symbols, endings, repetition of the word before), which stand for words never seen. Counts are dampened
+(case, digits, symbols, endings, repetition of the word before), which stand for words never seen; Training.shapes leaves
+these out. Counts are dampened
 and the vector scaled to length 1. Weights come from FTRL-proximal updates, whose L1 part leaves most of them at zero;
 scores are sparse dot products. Only the text is looked at.
 """
@@ -25,7 +26,10 @@ REMEMBERED = 300_000
 
 @dataclass(frozen=True)
 class Training:
-    """most_rows bounds the labelled documents that are learned from: those with the least hash of doc_id."""
+    """most_rows bounds the labelled documents that are learned from: those with the least hash of doc_id.
+
+    shapes: n-grams of word shapes count beside those of words.
+    """
 
     most_rows: int = 6000
     epochs: int = 4
@@ -33,6 +37,7 @@ class Training:
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.02
+    shapes: bool = True
 
 
 def _shape(word: str) -> int:
@@ -69,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def vector(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, words: _Words, shapes: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Features (ascending) and values; feature 0 is the intercept and always 1."""
     found = (text or "").split()
     h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -80,7 +85,7 @@ def vector(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     kinds = [h, _mix(h[:-1]) + h[1:], shape + np.uint64(1 << 20), (shape[:-1] << np.uint64(8)) + shape[1:] + np.uint64(1 << 30), (shape[:-2] << np.uint64(16)) + (shape[1:-1] << np.uint64(8)) + shape[2:] + np.uint64(1 << 40)]
     features, values = [np.zeros(1, np.int64)], [np.ones(1, np.float32)]
     # Words and shapes are scaled apart, so that neither drowns the other.
-    for part in (kinds[:2], kinds[2:]):
+    for part in (kinds[:2], kinds[2:])[: 1 + shapes]:
         own, n = np.unique((_mix(np.concatenate(part)) % np.uint64(FEATURES - 1)).astype(np.int64) + 1, return_counts=True)
         weight = np.log1p(n).astype(np.float32)
         features.append(own)
@@ -95,12 +100,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
-    for batch in batches:
-        made = [vector(text.as_py(), words) for text in batch.column(2)]
-        own = [pa.array([f.astype("<i4").tobytes() for f, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["place", "quality", "features", "vals"])
+def _vectors(shapes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            made = [vector(text.as_py(), words, shapes) for text in batch.column(2)]
+            own = [pa.array([f.astype("<i4").tobytes() for f, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["place", "quality", "features", "vals"])
+
+    return run
 
 
 def _trainer(how: Training):
@@ -135,20 +143,20 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> np.
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = known.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("place", "doc_id", "quality").limit(how.most_rows)
     met = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    rows = met.select("place", "quality", "text").mapInArrow(_vectors, "place long, quality int, features binary, vals binary")
+    rows = met.select("place", "quality", "text").mapInArrow(_vectors(how.shapes), "place long, quality int, features binary, vals binary")
     # A doc_id that many rows share must not go beyond the bound either.
-    rows = rows.orderBy("place", "quality").limit(how.most_rows)
+    rows = rows.orderBy("place", "quality", "features", "vals").limit(how.most_rows)
     made = rows.groupBy(F.lit(1).alias("one")).applyInPandas(_trainer(how), "weights binary").collect()
     return np.frombuffer(made[0]["weights"], "<f4") if made else np.zeros(FEATURES, np.float32)
 
 
-def _scorer(weights: np.ndarray):
+def _scorer(weights: np.ndarray, shapes: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             found = []
             for text in batch.column(1):
-                at, x = vector(text.as_py(), words)
+                at, x = vector(text.as_py(), words, shapes)
                 found.append(1.0 / (1.0 + np.exp(-float(np.clip(weights[at] @ x, -30, 30)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
@@ -156,7 +164,12 @@ def _scorer(weights: np.ndarray):
 
 
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.7, how: Training = Training()) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of docs; null and empty texts get the score of the intercept."""
+    """doc_id, held_out, score and predicted for each row of docs; null and empty texts get the score of the intercept.
+
+    Equal texts get equal scores, so ties are only of texts that the model can't tell apart. Repeated rows each get their
+    own; a doc_id with several texts or labels is learned from once for each pair of them, within the bound. A null
+    doc_id is scored and never learned from. Other columns, in docs and in labels, are not looked at.
+    """
     weights = train(docs, labels, how)
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(weights), "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scorer(weights, how.shapes), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
