@@ -8,7 +8,9 @@ response and the others are revisits that refer to it.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import new_path, save
+from tarn.llm._shared import discard, new_path, save, stored
 
 LEAST = 100
 #: Fixed value: the profile that the WARC 1.1 standard names for revisits of equal payloads.
@@ -32,8 +34,9 @@ class Archive:
     heads: str
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest))
+def _record_id(page_id: Column, digest: Column, number: Column) -> Column:
+    """Of a row: its number tells rows apart that repeat page_id and payload."""
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), digest, number.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -49,12 +52,12 @@ def _head() -> Column:
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"), F.col("number"))),
         line("WARC-Date", F.lit(DATE)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         F.coalesce(line("X-Page-ID", F.col("page_id").cast("string")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first"), F.col("digest"))), line("X-Refers-To-Page-ID", F.col("first").cast("string")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first.page_id"), F.col("digest"), F.col("first.number"))), F.coalesce(line("X-Refers-To-Page-ID", F.col("first.page_id").cast("string")), F.lit("")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
@@ -65,20 +68,24 @@ def _head() -> Column:
 def write(pages: DataFrame, least: int = LEAST) -> Archive:
     """Writes the archive to the shared folder. Null html is an empty payload; other columns than page_id, url, html are not kept.
 
-    Rows that repeat a page_id are records of their own; a null page_id sorts last. Two payloads of one digest that
-    differ (in length or in an independent 64-bit hash) stop the job.
+    Every row is a record with an id of its own. Rows with equal payloads that also share the smallest page_id are all
+    responses, and revisits refer to the first of them; a null page_id sorts last. Two payloads of one digest that differ (in length or in an independent 64-bit
+    hash) stop the job.
     """
     spark = pages.sparkSession
     made = Archive(new_path(spark, "payloads"), new_path(spark, "heads"))
     at = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     named = at.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"))
-    facts = named.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), F.xxhash64("payload").alias("check"))
-    first = facts.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count_if(F.col("page_id").isNull()).alias("nulls"), F.count("*").alias("copies"))
-    first = first.withColumn("first", F.when((F.col("c0") == F.col("c1")) & (F.col("n0") == F.col("n1")), F.col("first")).otherwise(F.raise_error(F.concat(F.lit("different payloads have the digest "), F.col("digest"))).cast("long")))
-    typed = facts.join(first.select("digest", "first"), "digest")
-    original = (F.col("n") < least) | F.coalesce(F.col("page_id") == F.col("first"), F.col("first").isNull())
-    typed = typed.withColumn("record_type", F.when(original, "response").otherwise("revisit"))
+    # Rows are numbered when they are stored, so a lost task can't number them otherwise.
+    facts = stored(named.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("n"), F.xxhash64("payload").alias("check"), F.monotonically_increasing_id().alias("number")), "facts")
+    row = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "number")
+    first = facts.groupBy("digest").agg(F.min(row).alias("first"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    same = (F.col("c0") == F.col("c1")) & (F.col("n0") == F.col("n1"))
+    first = first.where(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("different payloads have the digest "), F.col("digest"))).cast("boolean")))
+    first = stored(first.select("digest", "first"), "first")
+    typed = facts.join(first, "digest").withColumn("record_type", F.when((F.col("n") < least) | F.col("page_id").eqNullSafe(F.col("first.page_id")), "response").otherwise("revisit"))
     save(typed.select("page_id", "digest", F.encode(_head(), "UTF-8").alias("head")), made.heads)
+    discard(facts, first)
     # Copies of one payload meet in their map task first, so each task sends a payload once; no row needs to be found again.
     save(named.groupBy("digest").agg(F.first("payload").alias("payload")), made.payloads)
     return made
@@ -97,6 +104,21 @@ def bytes_of(spark: SparkSession, archive: Archive) -> DataFrame:
     return records(spark, archive).select(F.concat("head", F.coalesce("payload", F.encode(F.lit(""), "UTF-8")), F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
 
 
+def split(data: bytes) -> Iterator[bytes]:
+    """The records of a WARC file, found by their lengths; ValueError where one does not end where it says."""
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) + 4
+        length = re.search(rb"\r\nContent-Length: *(\d+)\r\n", data[at:end], re.I)
+        if end < 4 or not length:
+            raise ValueError(f"no record at byte {at}")
+        end += int(length[1]) + 4
+        if data[end - 4 : end] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} does not end at byte {end - 4}")
+        yield data[at:end]
+        at = end
+
+
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (lower-case names) and payload of a record; ValueError where lengths or marks do not agree."""
     head, mark, rest = record.partition(b"\r\n\r\n")
@@ -155,3 +177,24 @@ def export(spark: SparkSession, archive: Archive, path: str, records_per_file: i
     """Writes plain WARC files: records end with two line ends, which the text writer adds."""
     parts = records(spark, archive).select(F.concat("head", F.coalesce("payload", F.encode(F.lit(""), "UTF-8"))).cast("string").alias("value"))
     parts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for content in batch.column(0):
+            data = content.as_py()
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
+            yield pa.RecordBatch.from_arrays([pa.array(list(split(data)), pa.binary())], names=["record"])
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of read() with payload, of plain or gzipped WARC files as export() writes them; a task holds one file at a time.
+
+    Digests of responses are verified; a revisit takes its payload from a response with its digest, and has null where
+    no file holds one.
+    """
+    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_files, "record binary").mapInArrow(_reader(True), _READ)
+    payloads = parsed.where("record_type <> 'revisit'").groupBy("payload_digest").agg(F.first("payload").alias("_payload"))
+    full = parsed.join(payloads, "payload_digest", "left").withColumn("payload", F.coalesce("payload", "_payload"))
+    return full.withColumn("payload_bytes", F.octet_length("payload").cast("long")).select("page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload")
