@@ -1,12 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document is the set of its distinct 3-word shingles. Documents with equal sets form a class, whose smallest doc_id
-stands for it. Of each representative HASHES minima are taken; bands of them give candidates, and the low BITS of each
-are packed into a signature. Representatives that share a band, directly or through others, form a family. Families
-are cut into blocks of bounded size; every pair of blocks of a family meets in one task, where the similarity is
-estimated from bit counts (corrected for chance collisions), and pairs that may reach the limit are confirmed on their
-full shingle sets unless they are connected already. Only links that join something leave a task, so a group of
-thousands of copies gives thousands of links, not millions.
+A document is the set of its distinct 3-word shingles. Rows with equal sets form a class, whose smallest doc_id stands
+for it. Of each representative HASHES minima are taken; bands of them give candidates, and the low BITS of each are
+packed into a signature. Only pairs that share a band are looked at, and only so far as they may join something:
+
+1. Within a band bucket each member is a candidate with the first one. Similarities are estimated from bit counts of the
+   signatures (corrected for chance collisions); pairs that may reach the limit are confirmed on their full sets, for
+   each document its most similar first one, then those whose ends are not connected yet.
+2. Buckets that still hold several components are gone through: members of the largest component are dealt out in blocks
+   and met by all others, so what is connected already is not compared with itself. Only links that join something leave
+   a task.
+
+A group of thousands of copies so gives thousands of pairs, not millions.
 """
 
 from __future__ import annotations
@@ -14,20 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm._shared import LOWER, UPPER, components, stored
+from tarn.llm._shared import LOWER, UPPER, components, discard, stored
 
 #: 42 bands of 6: a pair at similarity 0.85 shares no band with a chance of 2e-9.
 BANDS, ROWS, BITS = 42, 6, 4
 HASHES = BANDS * ROWS
 #: An estimate from 252 minima lies within 0.12 (five standard deviations) of a true similarity of 0.85.
 MARGIN = 0.12
-#: Shingles in a block: a task holds two blocks, about 1 MB of sets beside their texts.
+#: Shingles in a block: a task holds two blocks, about 1 MB of sets.
 BLOCK_SHINGLES = 64_000
 #: Distinct words whose hash a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -95,90 +99,132 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((HASHES - differ) / HASHES - chance) / (1 - chance)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for text in batch.column(2):
             own = shingles(text.as_py(), words)
-            whole = xxhash.xxh3_128_digest(own.tobytes())
-            a, b = np.frombuffer(whole, np.int64).tolist()
+            a, b = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist()
             least = minima(own) if len(own) else None
-            rows.append((doc_id, len(own), a, b, band_keys(least) if len(own) else [], signature(least) if len(own) else b""))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)] if rows else [pa.array([], f.type) for f in _SIGNED], schema=_SIGNED)
+            rows.append((len(own), a, b, band_keys(least) if len(own) else [], signature(least) if len(own) else b""))
+        columns = list(zip(*rows, strict=True)) or [[] for _ in range(5)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip(columns, list(_SIGNED)[2:], strict=True))], schema=_SIGNED)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("rid"), F.col("text").cast("string"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sig) of each row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
+    """(doc_id, rid, n_shingles, set_a, set_b, bands, sig) of each row; rid is a hash of the text."""
+    return _texts(docs).mapInArrow(_sign, "doc_id long, rid long, n_shingles long, set_a long, set_b long, bands array<long>, sig binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for batch in batches:
-        kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
         own = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column("text")], pa.binary())
-        yield pa.RecordBatch.from_arrays([*kept, own], names=[*names, "own"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), own], names=["doc_id", "rid", "own"])
+
+
+def _estimated(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, a_rid, b, b_rid, a_sig, b_sig) -> the pairs that may reach the limit, with their estimate."""
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+                e = estimates(one, two)
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(e)], names=["a", "a_rid", "b", "b_rid", "e"]).filter(pa.array(e >= least))
+                yield batch
+
+    return run
+
+
+def _linked(one: np.ndarray, two: np.ndarray, limit_percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * both >= limit_percent * (len(one) + len(two) - both)
 
 
-def _block_links(limit_percent: int):
-    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, one, two = key
-        rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        sets = [np.frombuffer(x, np.uint64) for x in rows["own"]]
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint64).reshape(len(rows), -1)
-        sizes, block, ids = np.array([len(s) for s in sets]), rows["block"].to_numpy(), rows["doc_id"].tolist()
-        parent = list(range(len(rows)))
+def _confirmed(limit_percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, a_own, b_own) -> (a, b) of the pairs at or above the limit."""
+        for batch in batches:
+            sets = zip(*[[np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3)], strict=True)
+            good = pa.array([_linked(x, y, limit_percent) for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(good)
 
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows that follow one another with equal first columns."""
+    held: list[pa.RecordBatch] = []
+    at: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+            key = tuple(c[lo] for c in columns)
+            if key != at and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joining(limit_percent: int):
+    """(key, one, two, doc_id, component, large, sig, own), sorted by the first three -> links (a, b) that join components of a group."""
+    least = limit_percent / 100 - MARGIN
+
+    def links(group: pa.Table) -> list[tuple[int, int]]:
+        ids = group.column("doc_id").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
+        component, large = (group.column(n).to_numpy() for n in ("component", "large"))
+        across = group.column("two")[0].as_py() < 0
+        sizes = np.array([len(s) for s in sets])
+        parent = {c: c for c in component.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
 
         found = []
-        least = limit_percent / 100 - MARGIN
-        near_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def confirm() -> None:
-            if not near_:
-                return
-            e, i, j = (np.concatenate(x) for x in zip(*near_, strict=True))
-            near_.clear()
-            for k in np.argsort(-e, kind="stable"):
-                a, b = int(i[k]), int(j[k])
-                if root(a) == root(b):
-                    continue
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * both >= limit_percent * (len(sets[a]) + len(sets[b]) - both):
-                    parent[root(a)] = root(b)
-                    found.append((ids[a], ids[b]))
-
-        held = 0
-        for a in range(len(rows) - 1):
-            rest = np.arange(a + 1, len(rows))
-            if one != two:
-                rest = rest[block[a + 1 :] != block[a]]
-            low, high = np.minimum(sizes[rest], sizes[a]), np.maximum(sizes[rest], sizes[a])
-            rest = rest[100 * low >= limit_percent * high]
+        for i in range(len(ids) - 1):
+            rest = np.arange(i + 1, len(ids))
+            fits = component[rest] != component[i]
+            if across:
+                fits &= large[rest] != large[i]
+            low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            rest = rest[fits & (100 * low >= limit_percent * high)]
             if not len(rest):
                 continue
-            e = estimates(sigs[a], sigs[rest])
-            close = e >= least
-            if close.any():
-                near_.append((e[close], np.full(int(close.sum()), a), rest[close]))
-                held += int(close.sum())
-            if held > 200_000:
-                confirm()
-                held = 0
-        confirm()
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            e = estimates(sigs[i], sigs[rest])
+            for k in np.argsort(-e, kind="stable"):
+                if e[k] < least:
+                    break
+                a, b = root(int(component[i])), root(int(component[rest[k]]))
+                if a != b and _linked(sets[i], sets[rest[k]], limit_percent):
+                    parent[a] = b
+                    found.append((ids[i], ids[rest[k]]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            found = links(group)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return links
+    return run
 
 
 def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
@@ -186,26 +232,76 @@ def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
 
     component_id: the smallest doc_id that is reachable over links of similarity limit_percent / 100 or more. Null and
     empty texts have no shingles and are linked with nothing; so are rows without a doc_id, whose component is null and
-    which are kept. Rows that repeat doc_id and text come out alike. Other columns are not looked at.
+    which are kept. Rows that share a doc_id are one document: n_shingles is of the row's own text, a link of one of the
+    texts is a link of the document, and all its rows are kept or none. Other columns are not looked at.
     """
+    whole, node = ["n_shingles", "set_a", "set_b"], ["doc_id", "rid"]
     signed = stored(signatures(docs), "signatures")
-    whole = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*whole).agg(F.min("doc_id").alias("rep"))
-    reps = stored(signed.join(classes.withColumnRenamed("rep", "doc_id"), [*whole, "doc_id"]).dropDuplicates(["doc_id", *whole]).select("doc_id", "n_shingles", "bands", "sig"), "classes")
-    banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
-    families = stored(components(banded.join(met, "key").where("doc_id <> lo").select(F.col("doc_id").alias("a"), F.col("lo").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("family")), "families")
-    members = families.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    full = members.join(texts, "doc_id").mapInArrow(_sets, "doc_id long, family long, n_shingles long, sig binary, n_blocks int, block int, own binary")
-    full = stored(full.select("doc_id", "family", "sig", "n_blocks", "block", "own"), "sets")
-    pairs = full.select("doc_id", "sig", "own", "family", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    pairs = pairs.select("doc_id", "sig", "own", "family", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    links = stored(pairs.groupBy("family", "one", "two").applyInPandas(_block_links(limit_percent), "a long, b long"), "links")
-    found = components(links).select(F.col("node").alias("rep"), "root")
-    known = signed.join(classes, whole, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
-    named = known.join(found, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stored(real.groupBy(*whole).agg(F.min(F.struct(*node)).alias("rep")).select(*whole, F.col("rep.doc_id").alias("rep"), F.col("rep.rid").alias("rep_rid")), "classes")
+    known = stored(signed.drop("bands", "sig").join(classes, whole, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "known")
+    heads = classes.select(F.col("rep").alias("doc_id"), F.col("rep_rid").alias("rid"))
+    reps = stored(real.join(heads, node).dropDuplicates(node).select(*node, "n_shingles", "bands", "sig"), "representatives")
+    discard(signed)
+    # Members of band buckets, and the first of each bucket.
+    banded = reps.select(*node, F.explode("bands").alias("key"))
+    met = banded.groupBy("key").agg(F.min(F.struct(*node)).alias("lo"), F.max(F.struct(*node)).alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "lo", "n")
+    members = stored(banded.join(stored(met, "buckets"), "key"), "members")
+    stars = members.where(F.struct(*node) != F.col("lo")).select(F.col("doc_id").alias("a"), F.col("rid").alias("a_rid"), F.col("lo.doc_id").alias("b"), F.col("lo.rid").alias("b_rid")).distinct()
+    sigs = lambda end: reps.select(F.col("doc_id").alias(end), F.col("rid").alias(f"{end}_rid"), F.col("sig").alias(f"{end}_sig"))
+    ends = ["a", "a_rid", "b", "b_rid"]
+    signed_pairs = stars.join(sigs("a"), ["a", "a_rid"]).join(sigs("b"), ["b", "b_rid"]).select(*ends, "a_sig", "b_sig")
+    near = stored(signed_pairs.mapInArrow(_estimated(limit_percent / 100 - MARGIN), "a long, a_rid long, b long, b_rid long, e double"), "near")
+    texts = _texts(docs)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return stored(texts.join(nodes.distinct(), node).dropDuplicates(node).mapInArrow(_sets, "doc_id long, rid long, own binary"), "sets")
+
+    # Repeated rows of one text are one node, so dropDuplicates on nodes leaves one text for each.
+    of = lambda end: near.select(F.col(end).alias("doc_id"), F.col(f"{end}_rid").alias("rid"))
+    sets = sets_of(of("a").union(of("b")))
+    own = lambda end: sets.select(F.col("doc_id").alias(end), F.col("rid").alias(f"{end}_rid"), F.col("own").alias(f"{end}_own"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(*ends).join(own("a"), ["a", "a_rid"]).join(own("b"), ["b", "b_rid"]).select("a", "b", "a_own", "b_own")
+        return stored(both.mapInArrow(_confirmed(limit_percent), "a long, b long"), "links")
+
+    def roots(links: DataFrame) -> DataFrame:
+        return stored(components(links).select(F.col("node").alias("_node"), F.col("root").alias("_root")), "roots")
+
+    # Documents of several texts join the classes of these.
+    joined = known.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
+    links = stored(known.join(joined, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links")
+    best = near.groupBy("a", "a_rid").agg(F.max_by(F.struct("b", "b_rid"), F.struct(F.col("e"), -F.col("b"), "b_rid")).alias("x")).select("a", "a_rid", "x.b", "x.b_rid")
+    links = links.union(confirmed(best))
+    found = roots(links)
+    rooted = lambda df, column, name: df.join(found.withColumnRenamed("_root", name), F.col(column) == F.col("_node"), "left").drop("_node").withColumn(name, F.coalesce(name, F.col(column)))
+    apart = stored(rooted(rooted(near, "a", "ra"), "b", "rb").where("ra <> rb"), "apart")
+    if not apart.isEmpty():
+        links = links.union(confirmed(apart))
+        found = roots(links)
+    # Buckets of three or more that still hold several components.
+    tagged = rooted(members.where("n > 2").select("key", *node), "doc_id", "component")
+    mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = stored(tagged.join(mixed, "key").join(reps.select(*node, "n_shingles", "sig"), node), "mixed")
+    if not left.isEmpty():
+        parts = left.groupBy("key", "component").agg(F.sum("n_shingles").alias("n"))
+        parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+        blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
+        parts = parts.select("key", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("n_large"), blocks(F.col("n") - F.col("top.n")).alias("n_small"))
+        dealt = left.join(parts, "key").withColumn("large", F.col("component") == F.col("top"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*node), F.when(F.col("large"), F.col("n_large")).otherwise(F.col("n_small"))).cast("int"))
+        numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        across = F.when(F.col("large"), F.transform(numbers("n_small"), lambda j: F.struct(F.col("block").alias("one"), (-1 - j).alias("two")))).otherwise(
+            F.transform(numbers("n_large"), lambda i: F.struct(i.alias("one"), (-1 - F.col("block")).alias("two")))
+        )
+        beside = F.when(~F.col("large"), F.transform(numbers("n_small"), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two"))))
+        placed = dealt.select("key", *node, "component", "large", "sig", F.explode(F.concat(across, F.coalesce(beside, F.array().cast("array<struct<one:int,two:int>>")))).alias("g"))
+        sets = sets_of(left.select(*node))
+        full = placed.join(sets, node).select("key", "g.one", "g.two", "doc_id", "component", "large", "sig", "own")
+        grouped = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id")
+        links = links.union(stored(grouped.mapInArrow(_joining(limit_percent), "a long, b long"), "links"))
+        found = roots(links)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "rep", "doc_id"))
+    named = known.join(found, F.col("rep") == F.col("_node"), "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -86,12 +86,23 @@ def test_packing_pieces_and_sequences(docs):
 
 
 def test_packing_encoder_equals_tokenizer():
-    encoder = packing.Encoder(BPE)
+    """Against one that nothing has been set on: it reads a token that was added to the vocabulary as one id."""
+    encoder, plain = packing.Encoder(BPE), pytest.importorskip("tokenizers").Tokenizer.from_file(BPE)
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "'s", "é", "a", "b7", "!", "　", "\r\n", "<|endoftext|>", "'ll", "中", "😀", "\0"]
-    for _ in range(400):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext>", ""]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder(texts)] == [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert np.frombuffer(encoder(["a <|endoftext|> b"])[0], "<u4").tolist().count(50256) == 1
+
+
+def test_packing_of_long_texts(spark):
+    long = "word " * 250_000 + "a" * 3000 + "<|endoftext|>" + " é" * 1000
+    df = packing.pack(spark.createDataFrame([(1, long), (2, "x"), (3, None)], "doc_id long, text string"), BPE)
+    plain = pytest.importorskip("tokenizers").Tokenizer.from_file(BPE)
+    got = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    ids = {1: [*plain.encode(long, add_special_tokens=False).ids, 0], 2: [*plain.encode("x", add_special_tokens=False).ids, 0], 3: [0]}
+    assert got == [(i, at, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for i in ids for at in range(0, len(ids[i]), 1024) for p in [ids[i][at : at + 1024]]]
 
 
 def test_shortest_pack_first_places_everything():
@@ -187,6 +198,50 @@ def test_license_text_with_gaps(spark):
     assert found[1]["labels"] == "" and found[1]["score"] == 0
 
 
+def brute_labels(text):
+    """Labels and score by going through all places of all templates."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(fold))
+    labels, score = set(), 0.0
+    for template, label, base in [(p, x, True) for p, x in PHRASES.items()] + [(t, x, False) for x, many in license_scan.TEXTS.items() for t in many]:
+        own = template.split()
+        n = len(own) - 2
+        hits = sorted((i - j, i, j) for i in range(len(w) - 2) for j in range(n) if w[i : i + 3] == own[j : j + 3])
+        bands = []
+        for d, i, j in hits:
+            if bands and d - bands[-1][-1][0] <= (0 if base else 2):
+                bands[-1].append((d, i, j))
+            else:
+                bands.append([(d, i, j)])
+        for band in bands:
+            longest = {}
+            for i, j in sorted((i, j) for _, i, j in band):
+                longest[i, j] = 1 + max((v for (a, b), v in longest.items() if a < i and b < j), default=0)
+            score = max(score, max(longest.values()) / n)
+            if max(longest.values()) >= (1.0 if base else 0.75) * n:
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(51)
+    pool = [t.split() for many in license_scan.TEXTS.values() for t in many] + [p.split() for p in PHRASES]
+    texts = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 6)):
+                k = rng.randrange(len(own) + 1)
+                own[k : k + rng.randint(0, 1)] = rng.choice([["x"], [], own[k : k + 3], own[:3] * 3])
+            words += [*rng.choices(["the", "license", "of"], k=rng.randint(0, 9)), *own]
+        texts.append((i, " ".join(words)))
+    texts.append((500, " ".join(license_scan.TEXTS["bsd"][0].split()[:3] * 40)))  # one k-gram again and again stands for no other
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == {i: brute_labels(t) for i, t in texts} and found[500][0] == ""
+    assert len({x for x, _ in found.values()}) > 8
+
+
 def test_license_of_nothing(none):
     assert rows(license_scan.scan(none)) == []
 
@@ -235,6 +290,45 @@ def test_minhash_large_group(spark):
     assert found == root and len(set(root.values())) > 1
 
 
+def test_minhash_of_documents_with_several_texts(spark):
+    """Rows that share a doc_id are one document, whichever of their texts has a link."""
+    rng = random.Random(21)
+    prose = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    texts = [(1, a), (2, b), (5, a), (5, f"{b} x"), (7, c), (7, ""), (7, None), (8, f"{c} y"), (8, f"{c} y"), (9, prose()), (9, prose())]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    root = {1: 1, 2: 1, 5: 1, 7: 7, 8: 7, 9: 9}
+    assert found == sorted((i, len(shingle_set(t)), root[i], i == root[i]) for i, t in texts)
+
+
+def test_minhash_of_a_bucket_that_two_components_share(spark, monkeypatch):
+    """Two large groups whose members share bands but no link, and chains that only non-first members close; in many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2_000)
+    rng = random.Random(22)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+    other = [f"v{rng.randint(0, 9999)}" if 60 <= k < 90 else w for k, w in enumerate(base)]
+    texts = []
+    for i in range(160):
+        w = list(other if i % 3 == 0 else base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(200)] = f"z{rng.randint(0, 99999)}"
+        texts.append((i, " ".join(w)))
+    for k in range(60):  # each differs from the next by three words, so the ends are far apart
+        texts.append((1000 + (k * 37) % 60, " ".join(f"c{k}-{j}" if j <= 3 * k else f"u{j}" for j in range(180))))
+    _, root = brute_components(texts)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found == root and len(set(root.values())) > 5
+
+
+def test_minhash_of_a_long_text(spark):
+    rng = random.Random(23)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(160_000)]
+    texts = [(1, " ".join(words)), (2, " ".join([*words[:-9000], "x"])), (3, " ".join(words[:100]))]
+    assert len(texts[0][1]) > 1_000_000
+    _, root = brute_components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == root == {1: 1, 2: 1, 3: 3}
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (900, 50, 50))
@@ -439,6 +533,32 @@ def test_warc_export(spark, tmp_path):
     assert sorted(b"WARC/1.1" + x for x in data.split(b"WARC/1.1")[1:]) == expected
 
 
+    back = sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"], bytes(r["payload"])) for r in warc.read_files(spark, f"file://{tmp_path}/out").collect())
+    assert back == [(1, "u", "response", None, b"a" * 150), (2, "v", "revisit", 1, b"a" * 150), (3, "w", "response", None, b"b")]
+
+
+def test_warc_files_with_line_ends_in_payloads(spark, tmp_path):
+    html = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" * 5
+    archive = warc.write(spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "y" * 1_200_000)], "page_id long, url string, html string"))
+    warc.export(spark, archive, f"file://{tmp_path}/out")
+    for p in (tmp_path / "out").glob("part-*"):
+        (tmp_path / f"{p.name}.gz").write_bytes(__import__("gzip").compress(p.read_bytes()))
+    for path in (f"file://{tmp_path}/out", f"file://{tmp_path}/*.gz"):
+        assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in warc.read_files(spark, path).collect()) == [(1, html), (2, html), (3, "y" * 1_200_000)]
+    with pytest.raises(ValueError):
+        list(warc.split(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n"))
+
+
+def test_warc_of_repeated_rows(spark):
+    long = "z" * 120
+    archive = warc.write(spark.createDataFrame([(5, "u", long), (5, "u", long), (5, "u", "s"), (5, "u", "s"), (None, "u", long), (None, "v", None), (None, "v", None)], "page_id long, url string, html string"))
+    found = warc.read(spark, archive).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in found if r["payload_bytes"] == 120) == [("5", 120, "response", None), ("5", 120, "response", None), ("None", 120, "revisit", 5)]
+    assert len(found) == 7 and sum(r["record_type"] == "response" for r in found) == 6
+    ids = [warc.parse(bytes(r["record"]))[0]["warc-record-id"] for r in warc.bytes_of(spark, archive).collect()]
+    assert len(set(ids)) == 7
+
+
 def test_warc_rejects_damage():
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nHTTP\r\n\r\n")
@@ -470,6 +590,49 @@ def test_classifier_without_labels(docs, labels, none):
     assert rows(classifier.classify(none, labels)) == []
 
 
+@pytest.mark.parametrize("shapes", [True, False])
+def test_classifier_updates_by_brute_force(spark, shapes):
+    """Against the updates as they are published (z and n for every weight), one document and one feature at a time."""
+    rng = random.Random(61)
+    texts = [(i, " ".join(rng.choice(["alpha", "Beta", "GAMMA!!", "x7", "|", "of", "the."]) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(3, "other text of three"), (5, None)]
+    marks = [(i, int(rng.random() < 0.6)) for i in range(60)] + [(7, 0), (7, 1), (8, None), (9, 5)]
+    how = classifier.Training(epochs=2, shapes=shapes)
+    found = classifier.train(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"), how)
+    known = classifier._Words()
+    place = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in range(60)], "i long").selectExpr("i", "xxhash64(string(i)) h").collect()}
+    data = []
+    for i, t in texts:
+        at, x = classifier.vector(t, known, shapes)
+        data += [(place[i], at.astype("<i4").tobytes(), x.astype("<f4").tobytes(), y, at, x) for j, y in marks if i == j and y in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2]
+    data.sort(key=lambda d: d[:4])
+    share = sum(d[3] for d in data) / len(data)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        sign = -1.0 if z[k] < 0 else 1.0
+        return 0.0 if abs(z[k]) <= how.l1 else -(z[k] - sign * how.l1) / ((how.beta + n[k] ** 0.5) / how.alpha + how.l2)
+
+    for _ in range(how.epochs):
+        for *_, y, at, x in data:
+            w = {int(k): weight(int(k)) for k in at}
+            p = 1 / (1 + np.exp(-sum(w[int(k)] * float(v) for k, v in zip(at, x, strict=True))))
+            for k, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - y) * v * (0.5 / share if y else 0.5 / (1 - share))
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / how.alpha * w[k]
+                n[k] += g * g
+    expected = np.zeros(classifier.FEATURES)
+    for k in list(z):
+        expected[k] = weight(k)
+    assert np.allclose(found, expected, atol=1e-5) and np.count_nonzero(found) > 10
+
+
+def test_classifier_of_repeated_rows_and_clashing_names(spark, docs, labels):
+    again = docs.union(docs).withColumn("score", docs["doc_id"]).withColumn("quality", docs["doc_id"]).withColumn("place", docs["text"])
+    once = collections.Counter((r["doc_id"], r["score"]) for r in classifier.classify(docs, labels.limit(0)).collect())
+    assert collections.Counter((r["doc_id"], r["score"]) for r in classifier.classify(again, labels.limit(0)).collect()) == collections.Counter({k: 2 * n for k, n in once.items()})
+    assert classifier.classify(again, labels).count() == 2 * docs.count()
+
+
 def test_classifier_ignores_held_out_labels(spark, docs, labels):
     turned = labels.withColumn("quality", __import__("pyspark").sql.functions.when(classifier.held_out(labels["doc_id"]), 1 - labels["quality"]).otherwise(labels["quality"]))
     assert np.array_equal(classifier.train(docs, labels), classifier.train(docs, turned))
