@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from json import loads
 
-from tarn.dialect.lexer import SqlError
+from tarn.dialect.lexer import SqlError, quote_text
 
 
 def _substring(a: list[str]) -> str:
@@ -67,8 +68,10 @@ def _age(a: list[str]) -> str:
     later, earlier = (a[0], a[1]) if len(a) > 1 else ("current_date()", a[0])
     later, earlier = (f"CAST({x} AS TIMESTAMP_NTZ)" for x in (later, earlier))
     hi, lo = f"greatest({later}, {earlier})", f"least({later}, {earlier})"
-    months = f"CAST(floor(months_between({hi}, {lo}, false)) AS INT)"
-    days = f"datediff({hi}, add_months({lo}, {months}))"
+    # Calendar fields; days that are missing are borrowed from the month before the later date.
+    short = f"(day({hi}) < day({lo}))"
+    months = f"((year({hi}) - year({lo})) * 12 + month({hi}) - month({lo}) - CAST({short} AS INT))"
+    days = f"(day({hi}) - day({lo}) + CASE WHEN {short} THEN day(last_day(add_months({hi}, -1))) ELSE 0 END)"
     part = lambda n, unit: f"CASE WHEN {n} = 0 THEN NULL WHEN {n} = 1 THEN '1 {unit}' ELSE concat({n}, ' {unit}s') END"
     text = f"concat_ws(' ', {part(f'({months} DIV 12)', 'year')}, {part(f'({months} % 12)', 'month')}, {part(f'({days})', 'day')})"
     return f"CASE WHEN {text} = '' THEN '0 days' WHEN {later} < {earlier} THEN concat('-', {text}) ELSE {text} END"
@@ -87,11 +90,28 @@ def _path(keys: list[str]) -> str | None:
     return None if "?" in steps else "$" + "".join(steps)
 
 
+#: Stands before the text of an expression whose value is JSON; Spark reads it as a comment.
+JSON = "/*json*/ "
+
+
+def json(sql: str) -> str:
+    return f"({JSON}{sql})"
+
+
+def is_json(sql: str) -> bool:
+    return bool(re.match(r"\(*/\*json\*/", sql))
+
+
+def _let(value: str, body: str) -> str:
+    """body with j for the value, which is so written (and evaluated) once."""
+    return f"get(transform(array({value}), j -> {body}), 0)"
+
+
 def json_get(j: str, keys: list[str]) -> str:
     """JSON text of what lies at the path, NULL if nothing does."""
     if path := _path(keys):
-        return f"to_json(variant_get(try_parse_json({j}), '{path}'))"
-    return f"tarn_json_get({j}, array({', '.join(f'CAST({k} AS STRING)' for k in keys)}), false)"
+        return json(f"to_json(try_variant_get(try_parse_json({j}), '{path}', 'variant'))")
+    return json(f"tarn_json_get({j}, array({', '.join(f'CAST({k} AS STRING)' for k in keys)}), false)")
 
 
 def json_text(j: str, keys: list[str]) -> str:
@@ -100,14 +120,112 @@ def json_text(j: str, keys: list[str]) -> str:
     return f"tarn_json_get({j}, array({', '.join(f'CAST({k} AS STRING)' for k in keys)}), true)"
 
 
+def json_valid(x: str) -> str:
+    """The text if it is JSON, else NULL."""
+    return x if is_json(x) else json(_let(f"CAST({x} AS STRING)", "CASE WHEN try_parse_json(j) IS NOT NULL THEN j END"))
+
+
+def variant_of(x: str) -> str:
+    """Any value as a variant; text that holds a JSON object or array is taken as such."""
+    if is_json(x):
+        return f"try_parse_json({x})"
+    if re.fullmatch(r"-?[0-9.]+[DL]?|TRUE|FALSE|NULL", x):
+        return f"CAST({x} AS VARIANT)"
+    return f"CASE WHEN CAST({x} AS STRING) RLIKE '^[ \\\\t\\\\r\\\\n]*[\\\\[{{]' THEN coalesce(try_parse_json(CAST({x} AS STRING)), CAST({x} AS VARIANT)) ELSE CAST({x} AS VARIANT) END"
+
+
+_NULLS = "map('ignoreNullFields', 'false')"
+
+
 def _build_object(a: list[str]) -> str:
-    return f"tarn_json_object(array({', '.join(f'CAST({k} AS STRING)' for k in a[0::2])}), array({', '.join(json_of(v) for v in a[1::2])}))"
+    entries = ", ".join(f"struct(CAST({k} AS STRING) AS k, {variant_of(v)} AS v)" for k, v in zip(a[0::2], a[1::2], strict=False))
+    return json(f"to_json(map_from_entries(filter(array({entries}), e -> e.k IS NOT NULL)), {_NULLS})" if entries else "'{}'")
+
+
+def _build_array(a: list[str]) -> str:
+    return json(f"to_json(array({', '.join(map(variant_of, a))}), {_NULLS})" if a else "'[]'")
+
+
+_KIND = "CASE WHEN try_parse_json(j) IS NULL THEN NULL ELSE CASE substring_index(schema_of_variant(try_parse_json(j)), '<', 1) WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'STRING' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VOID' THEN 'null' ELSE 'number' END END"
+_ARRAY = "try_variant_get(try_parse_json({}), '$', 'array<variant>')"
+
+
+def json_typeof(x: str) -> str:
+    return _let(x, _KIND)
+
+
+def json_has(x: str, key: str) -> str:
+    """Whether an object has the key, or an array or a text is or holds it."""
+    inside = f"exists({_ARRAY.format('j')}, e -> schema_of_variant(e) = 'STRING' AND try_variant_get(e, '$', 'string') = {key})"
+    return _let(x, f"coalesce(array_contains(json_object_keys(j), {key}), {inside}, get_json_object(j, '$') = {key})")
+
+
+def json_minus(x: str, right: str, keys: str) -> str:
+    """Without keys of an object, texts of an array, or the element at a place."""
+    objects = f"to_json(map_filter(from_json(j, 'map<string,variant>'), (k, v) -> NOT array_contains({keys}, k)), {_NULLS})"
+    if re.fullmatch(r"-?[0-9]+", right):
+        left = f"filter({_ARRAY.format('j')}, (e, i) -> i <> {right} AND i <> size({_ARRAY.format('j')}) + {right})" if right.startswith("-") else f"filter({_ARRAY.format('j')}, (e, i) -> i <> {right})"
+    else:
+        left = f"filter({_ARRAY.format('j')}, e -> NOT (schema_of_variant(e) = 'STRING' AND array_contains({keys}, try_variant_get(e, '$', 'string'))))"
+    return json(_let(x, f"CASE {_KIND} WHEN 'object' THEN {objects} WHEN 'array' THEN to_json({left}, {_NULLS}) ELSE j END"))
+
+
+def json_concat(x: str, y: str) -> str:
+    """Two objects merged, the right one first; else one array of both sides' elements."""
+    kind = lambda f: _KIND.replace("(j)", f"(j.{f})")
+    items = lambda f: f"CASE {kind(f)} WHEN 'array' THEN {_ARRAY.format(f'j.{f}')} ELSE array(try_parse_json(j.{f})) END"
+    objects = f"to_json(map_concat(from_json(j.a, 'map<string,variant>'), from_json(j.b, 'map<string,variant>')), {_NULLS})"
+    body = f"CASE WHEN try_parse_json(j.a) IS NULL OR try_parse_json(j.b) IS NULL THEN NULL WHEN {kind('a')} = 'object' AND {kind('b')} = 'object' THEN {objects} ELSE to_json(concat({items('a')}, {items('b')}), {_NULLS}) END"
+    return json(_let(f"struct({x} AS a, {y} AS b)", body))
+
+
+def json_contains(a: str, b: str) -> str:
+    """Whether a holds b; a constant b becomes tests on a that stay on the JVM."""
+    text = re.fullmatch(r"'(?:[^'\\]|\\.)*'", inner(b), re.S)
+    if not text:
+        return f"tarn_json_contains({a}, {b})"
+    try:
+        wanted = loads(_text_of(text[0]))
+    except ValueError:
+        return "CAST(NULL AS BOOLEAN)"
+    return _let(a, f"CASE WHEN try_parse_json(j) IS NOT NULL THEN {_holds('try_parse_json(j)', wanted, 0)} END")
+
+
+def inner(sql: str) -> str:
+    """A constant without the parentheses, casts and checks about it."""
+    m = re.fullmatch(r"\(/\*json\*/ get\(transform\(array\(CAST\(('(?:[^'\\]|\\.)*') AS STRING\)\), j -> .*\), 0\)\)", sql, re.S)
+    return m[1] if m else sql.strip("()")
+
+
+def _holds(v: str, wanted: object, depth: int) -> str:
+    e = f"e{depth}"
+    kind = f"coalesce(schema_of_variant({v}), '')"
+    if isinstance(wanted, dict):
+        parts = [f"{kind} LIKE 'OBJECT%'"]
+        for key, value in wanted.items():
+            step = key.replace("\\", "\\\\").replace("'", "\\'")
+            parts.append(_holds(f"try_variant_get({v}, '$[\"{step}\"]', 'variant')", value, depth + 1))
+        return f"({' AND '.join(parts)})"
+    array = f"try_variant_get({v}, '$', 'array<variant>')"
+    if isinstance(wanted, list):
+        parts = [f"{kind} LIKE 'ARRAY%'", *[f"coalesce(exists({array}, {e} -> {_holds(e, x, depth + 1)}), FALSE)" for x in wanted]]
+        return f"({' AND '.join(parts)})"
+
+    def same(x: str) -> str:
+        shape = f"coalesce(schema_of_variant({x}), '')"
+        if wanted is None:
+            return f"{shape} = 'VOID'"
+        if isinstance(wanted, bool):
+            return f"({shape} = 'BOOLEAN' AND try_variant_get({x}, '$', 'boolean') = {str(wanted).upper()})"
+        if isinstance(wanted, str):
+            return f"({shape} = 'STRING' AND try_variant_get({x}, '$', 'string') = {quote_text(wanted)})"
+        return f"({shape} NOT IN ('', 'STRING', 'BOOLEAN', 'VOID') AND coalesce(try_variant_get({x}, '$', 'double') = {float(wanted)!r}D, FALSE))"
 
+    return f"({same(v)} OR ({kind} LIKE 'ARRAY%' AND coalesce(exists({array}, {e} -> {same(e)}), FALSE)))"
 
-def json_of(x: str) -> str:
-    """JSON text of any value, by way of a one-element array."""
-    return f"tarn_json_first(to_json(array({x})))"
 
+#: Stands behind each aggregate of a call, where FILTER belongs.
+FILTER = "\2"
 
 CALLS: dict[str, Callable[[list[str]], str]] = {
     "substring": _substring, "substr": _substring, "left": _left, "right": _right, "split_part": _split_part,
@@ -121,16 +239,17 @@ CALLS: dict[str, Callable[[list[str]], str]] = {
     "date_part": lambda a: date_part(_text_of(a[0]), a[1]),
     "date_trunc": lambda a: f"CAST(date_trunc({a[0]}, CAST({a[1]} AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)",
     "age": _age, "to_char": _to_char,
-    "array_agg": lambda a: f"transform(collect_list(struct({a[0]} AS x)), s -> s.x)",
-    "string_agg": lambda a: f"array_join(collect_list({a[0]}), {a[1]})",
-    "json_agg": lambda a: f"to_json(transform(collect_list(struct({a[0]} AS x)), s -> s.x), map('ignoreNullFields', 'false'))",
-    "json_object_agg": lambda a: f"tarn_json_object(transform(collect_list(struct(CAST({a[0]} AS STRING) AS k, {json_of(a[1])} AS v)), s -> s.k), transform(collect_list(struct(CAST({a[0]} AS STRING) AS k, {json_of(a[1])} AS v)), s -> s.v))",
+    "array_agg": lambda a: f"transform(collect_list(struct({a[0]} AS x)){FILTER}, s -> s.x)",
+    "string_agg": lambda a: f"array_join(collect_list({a[0]}){FILTER}, {a[1]})",
+    "json_agg": lambda a: JSON + f"to_json(transform(collect_list(struct({a[0]} AS x)){FILTER}, s -> s.x), map('ignoreNullFields', 'false'))",
+    "array_to_string": lambda a: f"array_join({', '.join(a)})", "string_to_array": lambda a: f"split({a[0]}, concat('\\\\Q', {a[1]}, '\\\\E'))",
+    "json_object_agg": lambda a: json(f"to_json(map_from_entries(filter(collect_list(struct(CAST({a[0]} AS STRING) AS k, {variant_of(a[1])} AS v)){FILTER}, e -> e.k IS NOT NULL)), {_NULLS})"),
     "json_extract": lambda a: json_get(a[0], a[1:]), "json_extract_path": lambda a: json_get(a[0], a[1:]), "json_extract_path_text": lambda a: json_text(a[0], a[1:]),
     "json_build_object": _build_object,
-    "json_build_array": lambda a: f"tarn_json_array(array({', '.join(json_of(x) for x in a)}))",
-    "json_set": lambda a: f"tarn_json_set({a[0]}, {a[1]}, {a[2]}, {a[3] if len(a) > 3 else 'true'})",
-    "json_insert": lambda a: f"tarn_json_insert({a[0]}, {a[1]}, {a[2]}, {a[3] if len(a) > 3 else 'false'})",
-    "json_typeof": lambda a: f"tarn_json_typeof({a[0]})", "json_strip_nulls": lambda a: f"tarn_json_strip({a[0]})", "json_pretty": lambda a: f"tarn_json_pretty({a[0]})",
+    "json_build_array": _build_array,
+    "json_set": lambda a: json(f"tarn_json_set({a[0]}, {a[1]}, {a[2]}, {a[3] if len(a) > 3 else 'true'})"),
+    "json_insert": lambda a: json(f"tarn_json_insert({a[0]}, {a[1]}, {a[2]}, {a[3] if len(a) > 3 else 'false'})"),
+    "json_typeof": lambda a: json_typeof(a[0]), "json_strip_nulls": lambda a: json(f"tarn_json_strip({a[0]})"), "json_pretty": lambda a: f"tarn_json_pretty({a[0]})",
     "format_type": lambda a: a[0], "pg_get_expr": lambda a: a[0],
     "array_length": lambda a: f"CASE WHEN size({a[0]}) = 0 THEN NULL ELSE size({a[0]}) END", "cardinality": lambda a: f"size({a[0]})",
 }
@@ -142,4 +261,4 @@ def call(name: str, args: list[str]) -> str:
     return CALLS[lower](args) if lower in CALLS else f"{lower}({', '.join(args)})"
 
 
-__all__ = ["CALLS", "call", "date_part", "json_get", "json_of", "json_text"]
+__all__ = ["CALLS", "FILTER", "call", "date_part", "is_json", "json", "json_concat", "json_contains", "json_get", "json_has", "json_minus", "json_text", "json_valid"]

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import threading
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.dialect.lexer import SqlError, quote_name
 from tarn.dialect.statements import Statements
 from tarn.functions import json_udf
 from tarn.session import configure
-from tarn.sources.store import Store, fresh, schema_of
+from tarn.sources.store import Conflict, Store, fresh, schema_of, short
 
 _LOCKS: dict[str, threading.RLock] = {}
+#: A recursion that goes on for longer stops with an error; nothing is left out.
 MOST_ROUNDS = 10_000
+#: How often a statement is tried again after another process has saved first.
+RETRIES = 5
 
 
 class ConstraintError(ValueError):
@@ -48,6 +53,7 @@ class Database:
         self.lock = _LOCKS.setdefault(self.store.root, threading.RLock())
         self.open: tuple[str, dict[str, Any]] | None = None
         self.views: dict[str, DataFrame] = {}
+        self.scratch: list[str] = []
 
     # the interface
     def attach(self, name: str, df: DataFrame) -> None:
@@ -56,11 +62,27 @@ class Database:
 
     def df(self, sql: str, params: Sequence | Mapping | None = None, db: str = "main") -> DataFrame:
         """One query, not yet run."""
-        parser = self._parser(sql, params, self._catalog(db))
-        made = parser.statement()
+        catalog = self._catalog(db)
+        made = self._parser(sql, params, catalog).statement()
         if made["kind"] != "select":
             raise SqlError("df() takes a query")
-        return self._select(made["sql"], parser, self._catalog(db))
+        return self._planned(sql, params, catalog)
+
+    def _planned(self, sql: str, params: Any, catalog: dict[str, Any]) -> DataFrame:
+        """A query; where columns stand beside aggregates without being grouped by, they are read as those of some row of the group."""
+        for loose in (False, True):
+            parser = self._parser(sql, params, catalog)
+            parser.loose = loose
+            made = parser.statement()
+            parser.accept(";")
+            if parser.now.kind != "end":
+                raise SqlError(f"unexpected {sql[parser.now.at : parser.now.at + 30]!r}")
+            try:
+                return self._select(made["sql"], parser, catalog)
+            except AnalysisException as problem:
+                if loose or not re.search("MISSING_AGGREGATION|MISSING_GROUP_BY|SCALAR_SUBQUERY", problem.getCondition() or ""):
+                    raise
+        raise AssertionError
 
     def query(self, sql: str, params: Sequence | Mapping | None = None, db: str = "main") -> Any:
         """Rows of one statement, or a list of them for several."""
@@ -91,12 +113,22 @@ class Database:
                 raise
             self.exec("COMMIT", db=db)
 
-    def close(self) -> None:
+    def close(self, destroy: bool = False) -> None:
+        """Rolls back what is open; with destroy the database of the open transaction, or main, goes as well."""
+        db = self.open[0] if self.open else "main"
         self.open = None
+        self._forget()
+        if destroy:
+            self.destroy(db)
 
     def destroy(self, db: str = "main") -> None:
         self.store.drop(db)
 
+    def vacuum(self, db: str = "main") -> int:
+        """Deletes files that hold rows of older states only; how many."""
+        with self.lock:
+            return self.store.vacuum(db, self._catalog(db))
+
     # statements
     def _catalog(self, db: str) -> dict[str, Any]:
         if self.open:
@@ -108,6 +140,7 @@ class Database:
     def _parser(self, sql: str, params: Any, catalog: dict[str, Any]) -> Statements:
         names = {n: n for n in self.views} | {n.lower(): n for n in catalog["tables"]} | {n: n for n in SYSTEM}
         parser = Statements(sql, params, names)
+        parser.columns = {n: {c.lower() for c in df.columns} for n, df in self.views.items()} | {n.lower(): {c["name"].lower() for c in t["columns"]} for n, t in catalog["tables"].items()} | _SYSTEM_COLUMNS
         parser.oids = {n.lower(): t["oid"] for n, t in catalog["tables"].items()} | {s: _OIDS.get(s, 20000 + i) for i, s in enumerate(catalog["schemas"])} | {n: 30000 + i for i, n in enumerate(catalog["types"])}
         return parser
 
@@ -117,6 +150,20 @@ class Database:
             return [self._one(sql[parser.all[a].at : parser.all[b].at], params, db) for a, b in parser.split()] or [Result()]
 
     def _one(self, sql: str, params: Any, db: str) -> Result:
+        """One statement; outside a transaction it is tried again where another process has been faster."""
+        for again in range(RETRIES, -1, -1):
+            kept = len(self.scratch)
+            try:
+                return self._once(sql, params, db)
+            except Conflict:
+                if self.open or not again:
+                    self.open = None
+                    raise
+            finally:
+                self._forget(kept)
+        raise AssertionError
+
+    def _once(self, sql: str, params: Any, db: str) -> Result:
         catalog = fresh(self._catalog(db))
         parser = self._parser(sql, params, catalog)
         made = parser.statement()
@@ -132,7 +179,7 @@ class Database:
             self.open = None
             return Result(command=kind.upper())
         if kind == "select":
-            return _result(self._select(made["sql"], parser, catalog), "SELECT")
+            return _result(self._planned(sql, params, catalog), "SELECT")
         if kind == "do":
             return self._do(made, params, db)
         result = getattr(self, f"_{kind}")(made, parser, catalog, db)
@@ -193,8 +240,14 @@ class Database:
         raise SqlError(f"{name} did not end within {MOST_ROUNDS} rounds")
 
     def _stored(self, df: DataFrame) -> DataFrame:
-        path = self.store.write("rounds", df)
-        return self.spark.read.schema(df.schema).parquet(path)
+        """Rows kept until the statement ends, or for a query until close()."""
+        made, path = self.store.scratch(df)
+        self.scratch.append(path)
+        return made
+
+    def _forget(self, kept: int = 0) -> None:
+        while len(self.scratch) > kept:
+            self.store.delete(self.scratch.pop())
 
     # writing
     def _table(self, name: str, catalog: dict[str, Any]) -> dict[str, Any]:
@@ -210,16 +263,14 @@ class Database:
         for c in table["columns"]:
             own = place.get(c["name"].lower())
             value = F.col(quote_name(own)) if own else None
-            if c["serial"]:
-                number = F.col("__place") + F.lit(first)
-                value = number if value is None else F.coalesce(value.cast("bigint"), number) if own in df.columns and f"__default_{own}" in df.columns else value
+            if c["serial"] and value is None:
+                value = F.col("__place") + F.lit(first)
             elif value is None:
                 value = F.expr(c["default"]) if c["default"] else F.lit(None)
             elif c["default"] and f"__default_{own}" in df.columns:
                 value = F.when(F.col(quote_name(f"__default_{own}")), F.expr(c["default"])).otherwise(value)
             listed.append(value.cast(c["type"]).alias(c["name"]))
-        made = df.orderBy("__place").select(*listed)
-        return self._generated(made, table)
+        return self._generated(df.select(*listed, "__place"), table)
 
     @staticmethod
     def _generated(df: DataFrame, table: dict[str, Any]) -> DataFrame:
@@ -241,30 +292,46 @@ class Database:
             given = made["columns"] or own[:width]
             if any(len(r) not in (0, len(given)) for r in made["rows"]):
                 raise SqlError("INSERT has another number of values than of columns")
-            listed = [", ".join(f"{v or 'NULL'} AS {quote_name(c)}, {str(v is None).upper()} AS {quote_name(f'__default_{c}')}" for c, v in zip(given, row, strict=False)) or "1 AS __one" for row in made["rows"]]
-            df = reduce(DataFrame.union, self._batches(listed, frames))
+            self._number(made["rows"], given, table)
+            df = self._literals(made["rows"], given, frames).coalesce(1)  # no more rows than the statement spells out
         # Places number the rows of this statement; a window without keys would gather them, so offsets come from partitions.
-        df = df.withColumn("__id", F.monotonically_increasing_id())
-        df = self._stored(df)
-        count = df.count()
+        df = self._stored(df.withColumn("__id", F.monotonically_increasing_id()))
         sizes = {r["p"]: r["n"] for r in df.groupBy((F.shiftright("__id", 33)).alias("p")).agg(F.count("*").alias("n")).collect()}
-        base, at = {}, 0
+        base, count = {}, 0
         for p in sorted(sizes):
-            base[p], at = at, at + sizes[p]
+            base[p], count = count, count + sizes[p]
         offsets = F.create_map(*[F.lit(x) for p, b in base.items() for x in (p, b)]) if base else F.create_map(F.lit(0).cast("bigint"), F.lit(0))
-        df = df.withColumn("__place", offsets[F.shiftright("__id", 33)] + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
-        new = self._stored(self._values(df, table, given, catalog))
-        if any(c["serial"] for c in table["columns"]):
+        placed = df.withColumn("__place", offsets[F.shiftright("__id", 33)] + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+        new = self._values(placed, table, given, catalog)
+        # Rows of one task are in order as they are; only those of several are dealt by place, so that files keep the order of the statement.
+        new = self._stored(new.orderBy("__place") if len(sizes) > 1 else new)
+        if any(c["serial"] and c["name"].lower() not in {g.lower() for g in given} for c in table["columns"]):
             table["next"] += count
         if made["conflict"]:
             return self._upsert(new, made, table, catalog, db)
-        self._check(new, table, catalog, inserted=True)
-        table["parts"].append(self.store.write(db, new))
+        rows = new.drop("__place")
+        self._check(rows, table, catalog, inserted=True)
+        table["parts"] += self.store.write(db, rows)
         return self._returned(new, made, table, "INSERT", count)
 
-    def _batches(self, listed: list[str], frames: dict[str, DataFrame]) -> Iterator[DataFrame]:
-        for at in range(0, len(listed), 500):
-            yield self._run(" UNION ALL ".join(f"SELECT {x}" for x in listed[at : at + 500]), frames)
+    @staticmethod
+    def _number(rows: list[list[str | None]], given: list[str], table: dict[str, Any]) -> None:
+        """DEFAULT in the place of a serial number takes the next one; numbers that are given do not count."""
+        serial = {c["name"].lower() for c in table["columns"] if c["serial"]}
+        for row in rows:
+            for k, value in enumerate(row):
+                if value is None and given[k].lower() in serial:
+                    row[k] = str(table["next"])
+                    table["next"] += 1
+
+    def _literals(self, rows: list[list[str | None]], given: list[str], frames: dict[str, DataFrame]) -> DataFrame:
+        """Rows of VALUES as one relation, with a flag for each DEFAULT; rows with subqueries are queries of their own."""
+        names = [x for c in given for x in (c, f"__default_{c}")] or ["__one"]
+        listed = [", ".join(f"{'NULL' if v is None else v}, {str(v is None).upper()}" for v in (row or [None] * len(given))) or "1" for row in rows]
+        columns = ", ".join(map(quote_name, names))
+        if not any("SELECT" in x for x in listed):
+            return self._run(f"SELECT * FROM VALUES {', '.join(f'({x})' for x in listed)} AS v({columns})", frames)
+        return reduce(DataFrame.union, [self._run(f"SELECT {x}", frames).toDF(*names) for x in listed])
 
     def _upsert(self, new: DataFrame, made: dict[str, Any], table: dict[str, Any], catalog: dict[str, Any], db: str) -> Result:
         keys = [c["columns"] for c in table["constraints"] if c["kind"] in ("primary", "unique")]
@@ -275,24 +342,23 @@ class Database:
             raise SqlError("ON CONFLICT needs a unique constraint on its columns")
         old = self.store.read(table)
         columns = [c["name"] for c in table["columns"]]
-        from pyspark.sql import Window
-
         if made["conflict"]["set"] is None:
-            kept = new.withColumn("__n", F.monotonically_increasing_id())
+            kept = new
             for k in keys:
                 known = reduce(lambda a, b: a & b, [F.col(f"n.{quote_name(c)}") == F.col(f"o.{quote_name(c)}") for c in k])
                 kept = kept.alias("n").join(old.select(*k).alias("o"), known, "left_anti")
-                rank = F.row_number().over(Window.partitionBy(*k).orderBy("__n"))
+                rank = F.row_number().over(Window.partitionBy(*k).orderBy("__place"))
                 absent = reduce(lambda a, b: a | b, [F.col(quote_name(c)).isNull() for c in k])
                 kept = kept.withColumn("__r", rank).where((F.col("__r") == 1) | absent).drop("__r")
             kept = self._stored(kept.select(*columns))
             self._check(kept, table, catalog, inserted=True)
-            table["parts"].append(self.store.write(db, kept))
+            table["parts"] += self.store.write(db, kept)
             return self._returned(kept, made, table, "INSERT", None)
         key = keys[0]
-        ranked = new.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())))
+        ranked = new.withColumn("__r", F.row_number().over(Window.partitionBy(*key).orderBy("__place")))
         if ranked.where("__r > 1").where(" AND ".join(f"{quote_name(c)} IS NOT NULL" for c in key)).limit(1).count():
             raise SqlError("ON CONFLICT DO UPDATE can't change a row twice in one statement")
+        new = new.drop("__place")
         name = made["table"].split(".")[-1]
         on = " AND ".join(f"{quote_name(name)}.{quote_name(c)} = EXCLUDED.{quote_name(c)}" for c in key)
         condition = made["conflict"]["where"] or "TRUE"
@@ -300,18 +366,38 @@ class Database:
         changed = ", ".join((f"CAST({changes[c['name'].lower()]} AS {c['type']})" if changes.get(c["name"].lower()) else f"{quote_name(name)}.{quote_name(c['name'])}") + f" AS {quote_name(c['name'])}" for c in table["columns"])
         frames = {"old__": old, "new__": new}
         hit = self._stored(self._generated(self._run(f"SELECT {changed} FROM {{old__}} AS {quote_name(name)} JOIN {{new__}} AS EXCLUDED ON {on} WHERE {condition}", frames), table))
-        rest = self._run(f"SELECT {quote_name(name)}.* FROM {{old__}} AS {quote_name(name)} LEFT ANTI JOIN {{new__}} AS EXCLUDED ON {on} AND {condition}", frames)
+        placed = {"old__": self.store.read(table, places=True), "new__": new}
+        struck = self._stored(self._run(f"SELECT {quote_name(name)}.`__file`, {quote_name(name)}.`__row` FROM {{old__}} AS {quote_name(name)} JOIN {{new__}} AS EXCLUDED ON {on} WHERE {condition}", placed))
         added = self._stored(self._run(f"SELECT EXCLUDED.* FROM {{new__}} AS EXCLUDED LEFT ANTI JOIN {{old__}} AS {quote_name(name)} ON {on}", frames))
-        table["parts"] = [self.store.write(db, rest)]
-        touched = added.union(hit)
+        self._without(struck, table, db)
+        touched = self._stored(added.union(hit))
         self._check(touched, table, catalog, inserted=True)
-        table["parts"].append(self.store.write(db, touched))
+        table["parts"] += self.store.write(db, touched)
         return self._returned(touched, made, table, "INSERT", None)
 
+    def _without(self, struck: DataFrame, table: dict[str, Any], db: str) -> None:
+        """Takes rows (__file, __row) out of a table; only the files that hold one are written anew."""
+        names = {r["__file"] for r in struck.select("__file").distinct().collect()}
+        files = [p for p in table["parts"] if short(p) in names]
+        if not files:
+            return
+        at = table["parts"].index(files[0])
+        rest = self.store.read(table | {"parts": files}, places=True).join(struck.select("__file", "__row"), ["__file", "__row"], "left_anti").drop("__file", "__row", "__part")
+        kept = [p for p in table["parts"] if p not in files]
+        table["parts"] = [*kept[:at], *self.store.write(db, rest), *kept[at:]]
+
+    @staticmethod
+    def _referred(table: dict[str, Any], catalog: dict[str, Any]) -> list[str]:
+        """Columns of a table that foreign keys of others refer to."""
+        own = Database._primary(table)
+        found = [x for t in catalog["tables"].values() for c in t["constraints"] if c["kind"] == "foreign" and c["table"].lower() == table["name"].lower() for x in (c["to"] or own)]
+        names = {c["name"].lower(): c["name"] for c in table["columns"]}
+        return list(dict.fromkeys(names[x.lower()] for x in found))
+
     def _update(self, made: dict[str, Any], parser: Statements, catalog: dict[str, Any], db: str) -> Result:
         table = self._table(made["table"], catalog)
         alias = quote_name(made["alias"] or made["table"].split(".")[-1])
-        frames = self._frames(parser.used, catalog) | {"rows__": self._stored(self.store.read(table).withColumn("__id", F.expr("uuid()")))}
+        frames = self._frames(parser.used, catalog)
         changes = {c.lower(): (e, c) for c, e in made["set"]}
         unknown = [c for k, (_, c) in changes.items() if k not in {x["name"].lower() for x in table["columns"]}]
         if unknown:
@@ -320,60 +406,80 @@ class Database:
         for c in table["columns"]:
             e, _ = changes.get(c["name"].lower(), (f"{alias}.{quote_name(c['name'])}", None))
             listed.append(f"CAST({e or c['default'] or 'NULL'} AS {c['type']}) AS {quote_name(c['name'])}")
-        source = f" JOIN {made['from']} ON {made['where']}" if made["from"] else f" WHERE {made['where']}"
-        hit = self._run(f"SELECT {', '.join(listed)}, {alias}.`__id` FROM {{rows__}} AS {alias}{source}", frames)
+        own = [c["name"] for c in table["columns"]]
+        old = [f"{alias}.{quote_name(c)} AS {quote_name(f'__old_{c}')}" for c in self._referred(table, catalog)]
+        source = f" WHERE {made['where']}"
         if made["from"]:
-            hit = hit.dropDuplicates(["__id"])
-        hit = self._stored(hit)
-        rest = frames["rows__"].join(hit.select("__id"), "__id", "left_anti").drop("__id")
-        new = self._stored(self._generated(hit.drop("__id"), table))
-        before = frames["rows__"].join(hit.select("__id"), "__id", "left_semi").drop("__id")
-        table["parts"] = [self.store.write(db, rest)]
-        self._check(new, table, catalog, inserted=True)
-        table["parts"].append(self.store.write(db, new))
-        self._changed(before, table, catalog, db, "on_update")
-        return self._returned(new, made, table, "UPDATE", None)
+            source = f" JOIN {made['from']} ON {made['where']}"
+            # Of several matches the first counts, in the order in which the rows of the other tables were stored; else the one of least values.
+            stored = [(n, a) for n, a in parser.named if n in catalog["tables"]]
+            frames |= {n: self.store.read(catalog["tables"][n], places=True) for n, _ in stored}
+            order = [f"{quote_name(a)}.`{c}`" for _, a in stored for c in ("__part", "__row")] or [x.rpartition(" AS ")[0] for x in listed]
+            listed.append(f"row_number() OVER (PARTITION BY {alias}.`__file`, {alias}.`__row` ORDER BY {', '.join(order)}) AS `__match`")
+        frames["rows__"] = self.store.read(table, places=True)
+        hit = self._run(f"SELECT {', '.join([*listed, *old])}, {alias}.`__file`, {alias}.`__row` FROM {{rows__}} AS {alias}{source}", frames)
+        hit = self._stored(hit.where("__match = 1").drop("__match") if made["from"] else hit)
+        before = self._stored(self.store.read(table, places=True).join(hit.select("__file", "__row"), ["__file", "__row"], "left_semi")) if old else hit
+        new = self._generated(hit, table)
+        new = self._stored(new) if any(c["generated"] for c in table["columns"]) else new
+        self._without(hit, table, db)
+        self._check(new.select(*map(quote_name, own)), table, catalog, inserted=True)
+        table["parts"] += self.store.write(db, new.select(*map(quote_name, own)))
+        if old:
+            self._changed(before, table, catalog, db, "on_update", new)
+        return self._returned(new.select(*map(quote_name, own)), made, table, "UPDATE", None)
 
     def _delete(self, made: dict[str, Any], parser: Statements, catalog: dict[str, Any], db: str) -> Result:
         table = self._table(made["table"], catalog)
         alias = quote_name(made["alias"] or made["table"].split(".")[-1])
-        frames = self._frames(parser.used, catalog) | {"rows__": self._stored(self.store.read(table).withColumn("__id", F.expr("uuid()")))}
+        frames = self._frames(parser.used, catalog) | {"rows__": self.store.read(table, places=True)}
         source = f" JOIN {made['from']} ON {made['where']}" if made["from"] else f" WHERE {made['where']}"
-        ids = self._stored(self._run(f"SELECT DISTINCT {alias}.`__id` FROM {{rows__}} AS {alias}{source}", frames))
-        gone = self._stored(frames["rows__"].join(ids, "__id", "left_semi").drop("__id"))
-        table["parts"] = [self.store.write(db, frames["rows__"].join(ids, "__id", "left_anti").drop("__id"))]
+        ids = self._run(f"SELECT DISTINCT {alias}.`__file`, {alias}.`__row` FROM {{rows__}} AS {alias}{source}", frames)
+        gone = self._stored(frames["rows__"].join(ids, ["__file", "__row"], "left_semi"))
+        self._without(gone, table, db)
+        gone = gone.select(*[quote_name(c["name"]) for c in table["columns"]])
         self._changed(gone, table, catalog, db, "on_delete")
         return self._returned(gone, made, table, "DELETE", None)
 
-    def _changed(self, before: DataFrame, table: dict[str, Any], catalog: dict[str, Any], db: str, event: str) -> None:
-        """What foreign keys want when rows have gone or changed; before: the rows as they were."""
+    def _changed(self, before: DataFrame, table: dict[str, Any], catalog: dict[str, Any], db: str, event: str, moved: DataFrame | None = None) -> None:
+        """What foreign keys want when rows have gone or changed.
+
+        before: the rows as they were; moved, of an update: the new rows, with the old values of the columns that are
+        referred to as __old_c.
+        """
         for other in catalog["tables"].values():
             for c in other["constraints"]:
                 if c["kind"] != "foreign" or self._table(c["table"], catalog)["name"] != table["name"]:
                     continue
                 to = c["to"] or self._primary(table)
-                lost = before.select(*to).distinct().subtract(self.store.read(table).select(*to)).toDF(*[f"__{x}" for x in c["columns"]])
-                child = self.store.read(other)
-                on = reduce(lambda a, b: a & b, [child[x] == lost[f"__{x}"] for x in c["columns"]])
-                hit = self._stored(child.join(lost, on, "left_semi"))
+                own = [f"__was_{x}" for x in c["columns"]]
+                lost = before.select(*to).distinct().subtract(self.store.read(table).select(*to)).toDF(*own)
+                if moved is not None and c[event] == "CASCADE":
+                    # A key that has become another one is followed, though another row may hold the old one by now.
+                    ways = moved.select(*[F.col(quote_name(f"__old_{t}")).alias(w) for t, w in zip(to, own, strict=True)], *[F.col(quote_name(t)).alias(f"__now_{x}") for t, x in zip(to, c["columns"], strict=True)])
+                    lost = ways.where(" OR ".join(f"NOT ({quote_name(w)} <=> {quote_name(f'__now_{x}')})" for w, x in zip(own, c["columns"], strict=True))).dropDuplicates(own)
+                child = self.store.read(other, places=True)
+                on = reduce(lambda a, b: a & b, [child[x] == lost[w] for x, w in zip(c["columns"], own, strict=True)])
+                hit = self._stored(child.join(lost, on))
                 if hit.isEmpty():
                     continue
-                action = c[event]
-                if action not in ("CASCADE", "SET NULL", "SET DEFAULT") or (event == "on_update" and action == "CASCADE" and len(to) != 1):
+                if c[event] not in ("CASCADE", "SET NULL", "SET DEFAULT"):
                     raise ConstraintError(f"Foreign Key Violation ({'Delete' if event == 'on_delete' else 'Update'}): {other['name']} refers to {table['name']}")
-                rest = child.join(lost, on, "left_anti")
-                if action == "CASCADE" and event == "on_update":
-                    raise ConstraintError("Foreign Key Violation (Update): keys that others refer to can be changed by ON UPDATE SET NULL only")
-                other["parts"] = [self.store.write(db, rest)]
-                if action != "CASCADE":
-                    defaults = {x["name"]: x["default"] for x in other["columns"]}
-                    for x in c["columns"]:
-                        value = F.expr(defaults[x]) if action == "SET DEFAULT" and defaults[x] else F.lit(None)
-                        hit = hit.withColumn(x, value.cast(hit.schema[x].dataType))
-                    self._check(hit, other, catalog, inserted=True)
-                    other["parts"].append(self.store.write(db, hit))
-                else:
-                    self._changed(hit, other, catalog, db, event)
+                self._without(hit, other, db)
+                names = [quote_name(x["name"]) for x in other["columns"]]
+                if c[event] == "CASCADE" and event == "on_delete":
+                    self._changed(hit.select(*names), other, catalog, db, event)
+                    continue
+                defaults = {x["name"]: x["default"] for x in other["columns"]}
+                changed = hit.withColumns({f"__old_{x}": F.col(quote_name(x)) for x in self._referred(other, catalog)})
+                for x in c["columns"]:
+                    value = F.col(quote_name(f"__now_{x}")) if c[event] == "CASCADE" else F.expr(defaults[x]) if c[event] == "SET DEFAULT" and defaults[x] else F.lit(None)
+                    changed = changed.withColumn(x, value.cast(hit.schema[x].dataType))
+                changed = self._stored(self._generated(changed, other))
+                self._check(changed.select(*names), other, catalog, inserted=True)
+                other["parts"] += self.store.write(db, changed.select(*names))
+                if self._referred(other, catalog):
+                    self._changed(hit.select(*names), other, catalog, db, "on_update", changed)
 
     def _truncate(self, made: dict[str, Any], parser: Statements, catalog: dict[str, Any], db: str) -> None:
         names = {self._table(n, catalog)["name"] for n in made["tables"]}
@@ -426,7 +532,8 @@ class Database:
     def _returned(self, rows: DataFrame, made: dict[str, Any], table: dict[str, Any], command: str, count: int | None) -> Result:
         if made.get("returning"):
             alias = quote_name(made.get("alias") or made["table"].split(".")[-1])
-            return _result(self._run(f"SELECT {made['returning']} FROM {{rows__}} AS {alias}", {"rows__": rows}), command)
+            own = rows.select(*[quote_name(c["name"]) for c in table["columns"]]) if "__place" not in rows.columns else rows.orderBy("__place").drop("__place")
+            return _result(self._run(f"SELECT {made['returning']} FROM {{rows__}} AS {alias}", {"rows__": own}), command)
         return Result(row_count=rows.count() if count is None else count, command=command)
 
     # definitions
@@ -468,7 +575,7 @@ class Database:
         if "select" in made:
             df = self._select(made["select"], parser, catalog)
             table["columns"] = [{"name": f.name, "type": f.dataType.simpleString(), "sql_type": f.dataType.simpleString().upper(), "not_null": False, "default": None, "generated": None, "serial": False, "comment": None} for f in df.schema.fields]
-            table["parts"] = [self.store.write(db, df)]
+            table["parts"] = self.store.write(db, df)
         schema_of(table)
         catalog["tables"][name] = table
         for c in made["constraints"]:
@@ -487,6 +594,7 @@ class Database:
             parent = self._table(constraint["table"], catalog)
             if not (constraint["to"] or self._primary(parent)):
                 raise SqlError(f"{parent['name']} has no primary key")
+        constraint["oid"] = self._oid(catalog)
         table["constraints"].append(constraint)
 
     def _drop_table(self, made: dict[str, Any], parser: Any, catalog: dict[str, Any], db: str) -> None:
@@ -513,7 +621,7 @@ class Database:
             if made["maybe"]:
                 return
             raise SqlError(f"index {made['name']} already exists")
-        table["indexes"].append({"name": made["name"], "columns": made["columns"], "unique": made["unique"], "text": made["text"]})
+        table["indexes"].append({"name": made["name"], "columns": made["columns"], "unique": made["unique"], "text": made["text"], "oid": self._oid(catalog)})
         if made["unique"] and made["columns"]:
             constraint = {"kind": "unique", "columns": made["columns"], "name": made["name"]}
             self._validate(constraint, table)
@@ -594,7 +702,7 @@ class Database:
                 if c["not_null"] and not (c["default"] or c["generated"]) and df.limit(1).count():
                     raise ConstraintError(f"Constraint Error: {c['name']} cannot be null")
                 if c["default"] or c["generated"]:
-                    table["parts"] = [self.store.write(db, df.withColumn(c["name"], value.cast(c["type"])))]
+                    table["parts"] = self.store.write(db, df.withColumn(c["name"], value.cast(c["type"])))
             for x in a["constraints"]:
                 self._add(x, table, catalog)
         elif do == "drop_column":
@@ -607,7 +715,7 @@ class Database:
             table["columns"] = [x for x in table["columns"] if x["name"] != own]
             table["constraints"] = [x for x in table["constraints"] if own not in x["columns"]]
             if df is not None:
-                table["parts"] = [self.store.write(db, df)]
+                table["parts"] = self.store.write(db, df)
         elif do == "rename_column":
             column = self._column(table, a["name"])
             df = self.store.read(table).withColumnRenamed(column["name"], a["to"]) if table["parts"] else None
@@ -620,7 +728,7 @@ class Database:
                         x["to"] = renamed(x["to"])
             column["name"] = a["to"]
             if df is not None:
-                table["parts"] = [self.store.write(db, df)]
+                table["parts"] = self.store.write(db, df)
         elif do == "rename_table":
             del catalog["tables"][table["name"]]
             schema, dot, _ = table["name"].rpartition(".")
@@ -636,9 +744,9 @@ class Database:
             column["type"], column["sql_type"] = a["type"], a["sql_type"]
             if df is not None:
                 value = F.expr(a["using"]) if a.get("using") else F.col(quote_name(column["name"]))
-                table["parts"] = [self.store.write(db, df.withColumn(column["name"], value.cast(a["type"])))]
+                table["parts"] = self.store.write(db, df.withColumn(column["name"], value.cast(a["type"])))
         elif do == "set_default":
-            self._column(table, a["name"])["default"] = a["default"]
+            self._column(table, a["name"]).update(default=a["default"], default_text=a.get("text"))
         elif do == "set_not_null":
             column = self._column(table, a["name"])
             if a["value"] and self.store.read(table).where(F.col(quote_name(column["name"])).isNull()).limit(1).count():
@@ -661,8 +769,18 @@ def _result(df: DataFrame, command: str) -> Result:
 
 
 # what the catalog tells of itself
-def _view(schema: str, rows: Any) -> Any:
-    return lambda spark, catalog: spark.createDataFrame(list(rows(catalog)), schema)
+@dataclass(frozen=True)
+class View:
+    """Rows that follow from the catalog; they lie with the driver, as the catalog does."""
+
+    schema: str
+    rows: Callable[[dict[str, Any]], Iterable[tuple]]
+
+    def __call__(self, spark: SparkSession, catalog: dict[str, Any]) -> DataFrame:
+        return spark.createDataFrame(list(self.rows(catalog)), self.schema)
+
+
+_view = View
 
 
 def _split(name: str) -> tuple[str, str]:
@@ -676,23 +794,59 @@ def _constraints(catalog: dict[str, Any]) -> Iterator[tuple[dict[str, Any], dict
             yield t, c
 
 
+def _default(column: dict[str, Any]) -> str | None:
+    """As it was written; a literal text without its quotes."""
+    text = column.get("default_text") or column["default"]
+    return text[1:-1].replace("''", "'") if text and re.fullmatch(r"'(?:[^']|'')*'", text) else text
+
+
+def _named(catalog: dict[str, Any], name: str) -> dict[str, Any]:
+    return next(t for n, t in catalog["tables"].items() if n.lower() == name.lower())
+
+
+def _places(table: dict[str, Any], columns: list[str]) -> str:
+    numbers = {c["name"].lower(): i + 1 for i, c in enumerate(table["columns"])}
+    return " ".join(str(numbers[c.lower()]) for c in columns)
+
+
+def _indexes(catalog: dict[str, Any]) -> Iterator[tuple[dict[str, Any], dict[str, Any]]]:
+    """Keys, and indexes that are not the one of a key."""
+    for t, c in _constraints(catalog):
+        if c["kind"] in ("primary", "unique"):
+            yield t, c
+    for t in catalog["tables"].values():
+        names = {c["name"] for c in t["constraints"]}
+        for i in t["indexes"]:
+            if i["name"] not in names:
+                yield t, i
+
+
+def _schema_oid(table: str, catalog: dict[str, Any]) -> int:
+    schema = _split(table)[0]
+    return _OIDS.get(schema, 20000 + catalog["schemas"].index(schema))
+
+
 _OIDS = {"public": 2200, "pg_catalog": 11, "information_schema": 12345}
 SYSTEM = {
     "information_schema.schemata": _view("catalog_name string, schema_name string", lambda c: [("main", s) for s in c["schemas"]]),
     "information_schema.tables": _view("table_catalog string, table_schema string, table_name string, table_type string", lambda c: [("main", *_split(t), "BASE TABLE") for t in c["tables"]]),
     "information_schema.columns": _view(
         "table_schema string, table_name string, column_name string, ordinal_position int, column_default string, is_nullable string, data_type string",
-        lambda c: [(*_split(n), x["name"], i + 1, x["default"], "NO" if x["not_null"] else "YES", x["sql_type"].lower()) for n, t in c["tables"].items() for i, x in enumerate(t["columns"])],
+        lambda c: [(*_split(n), x["name"], i + 1, _default(x), "NO" if x["not_null"] else "YES", x["sql_type"].lower()) for n, t in c["tables"].items() for i, x in enumerate(t["columns"])],
     ),
     "information_schema.referential_constraints": _view("constraint_schema string, constraint_name string, update_rule string, delete_rule string", lambda c: [(_split(t["name"])[0], x["name"], x["on_update"], x["on_delete"]) for t, x in _constraints(c) if x["kind"] == "foreign"]),
     "information_schema.table_constraints": _view("table_schema string, table_name string, constraint_name string, constraint_type string", lambda c: [(*_split(t["name"]), x["name"], {"primary": "PRIMARY KEY", "unique": "UNIQUE", "foreign": "FOREIGN KEY", "check": "CHECK"}[x["kind"]]) for t, x in _constraints(c)]),
     "pg_namespace": _view("oid long, nspname string", lambda c: [(_OIDS.get(s, 20000 + i), s) for i, s in enumerate(c["schemas"])]),
-    "pg_class": _view("oid long, relname string, relnamespace long, relkind string", lambda c: [(t["oid"], _split(n)[1], _OIDS.get(_split(n)[0], 20000 + c["schemas"].index(_split(n)[0])), "r") for n, t in c["tables"].items()]),
+    "pg_class": _view("oid long, relname string, relnamespace long, relkind string", lambda c: [(t["oid"], _split(n)[1], _schema_oid(n, c), "r") for n, t in c["tables"].items()] + [(i["oid"], i["name"], _schema_oid(t["name"], c), "i") for t, i in _indexes(c)]),
     "pg_attribute": _view("attrelid long, attname string, attnum int, attnotnull boolean, atttypid string, atthasdef boolean", lambda c: [(t["oid"], x["name"], i + 1, x["not_null"], x["sql_type"].lower(), x["default"] is not None) for t in c["tables"].values() for i, x in enumerate(t["columns"])]),
-    "pg_attrdef": _view("adrelid long, adnum int, adbin string", lambda c: [(t["oid"], i + 1, x["default"]) for t in c["tables"].values() for i, x in enumerate(t["columns"]) if x["default"] is not None]),
+    "pg_attrdef": _view("adrelid long, adnum int, adbin string", lambda c: [(t["oid"], i + 1, _default(x)) for t in c["tables"].values() for i, x in enumerate(t["columns"]) if x["default"] is not None]),
     "pg_description": _view("objoid long, objsubid int, description string", lambda c: [(t["oid"], 0, t["comment"]) for t in c["tables"].values() if t["comment"]] + [(t["oid"], i + 1, x["comment"]) for t in c["tables"].values() for i, x in enumerate(t["columns"]) if x["comment"]]),
-    "pg_index": _view("indrelid long, indname string, indisunique boolean, indisprimary boolean, indkey string", lambda c: [(t["oid"], x["name"], True, x["kind"] == "primary", ",".join(x["columns"])) for t, x in _constraints(c) if x["kind"] in ("primary", "unique")] + [(t["oid"], i["name"], i["unique"], False, ",".join(i["columns"])) for t in c["tables"].values() for i in t["indexes"] if not i["unique"]]),
-    "pg_constraint": _view("conname string, conrelid long, contype string, conkey string", lambda c: [(x["name"], t["oid"], x["kind"][0], ",".join(x["columns"])) for t, x in _constraints(c)]),
+    "pg_index": _view("indexrelid long, indrelid long, indname string, indisunique boolean, indisprimary boolean, indkey string", lambda c: [(i["oid"], t["oid"], i["name"], i.get("unique", True), i.get("kind") == "primary", _places(t, i["columns"])) for t, i in _indexes(c)]),
+    "pg_constraint": _view(
+        "oid long, conname string, conrelid long, confrelid long, contype string, conkey string, confkey string",
+        lambda c: [(x["oid"], x["name"], t["oid"], *((None,) if x["kind"] != "foreign" else (_named(c, x["table"])["oid"],)), x["kind"][0], _places(t, x["columns"]), None if x["kind"] != "foreign" else _places(_named(c, x["table"]), x["to"] or Database._primary(_named(c, x["table"])))) for t, x in _constraints(c)],
+    ),
     "pg_type": _view("oid long, typname string, typtype string", lambda c: [(30000 + i, n, "e") for i, n in enumerate(c["types"])]),
     "pg_enum": _view("enumtypid long, enumsortorder int, enumlabel string", lambda c: [(30000 + i, k + 1, v) for i, vs in enumerate(c["types"].values()) for k, v in enumerate(vs)]),
 }
+_SYSTEM_COLUMNS = {name: {part.split()[0] for part in view.schema.split(", ")} for name, view in SYSTEM.items()}

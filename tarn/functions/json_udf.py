@@ -1,4 +1,4 @@
-"""JSON functions that Spark lacks: paths that are not constant, and changes. Arrow-batched."""
+"""JSON functions that Spark lacks: paths and sides of @> that are not constant, changes at a path, and printing. Arrow carries the rows."""
 
 from __future__ import annotations
 
@@ -103,26 +103,6 @@ def delete(text: str | None, path: list[str] | None) -> str | None:
     return _dump(value if value is _NOTHING else _changed(value, path or [], change))
 
 
-def minus(text: str | None, keys: list[str] | None, index: bool) -> str | None:
-    value = _load(text)
-    if isinstance(value, dict):
-        return _dump({k: v for k, v in value.items() if k not in (keys or [])})
-    if isinstance(value, list):
-        if index:
-            return delete(text, keys)
-        return _dump([v for v in value if v not in (keys or [])])
-    return _dump(value)
-
-
-def merge(a: str | None, b: str | None) -> str | None:
-    x, y = _load(a), _load(b)
-    if x is _NOTHING or y is _NOTHING:
-        return None
-    if isinstance(x, dict) and isinstance(y, dict):
-        return _dump({**x, **y})
-    return _dump((x if isinstance(x, list) else [x]) + (y if isinstance(y, list) else [y]))
-
-
 def _within(a: Any, b: Any) -> bool:
     if isinstance(a, dict) and isinstance(b, dict):
         return all(k in a and _within(a[k], v) for k, v in b.items())
@@ -136,19 +116,6 @@ def contains(a: str | None, b: str | None) -> bool | None:
     return None if x is _NOTHING or y is _NOTHING else _within(x, y)
 
 
-def has(text: str | None, key: str | None) -> bool | None:
-    value = _load(text)
-    if value is _NOTHING or key is None:
-        return None
-    return key in value if isinstance(value, (dict, list)) else value == key
-
-
-def typeof(text: str | None) -> str | None:
-    value = _load(text)
-    names = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
-    return None if value is _NOTHING else names[type(value)]
-
-
 def _stripped(value: Any) -> Any:
     if isinstance(value, dict):
         return {k: _stripped(v) for k, v in value.items() if v is not None}
@@ -165,37 +132,18 @@ def pretty(text: str | None) -> str | None:
     return None if value is _NOTHING else json.dumps(value, ensure_ascii=False, indent=2)
 
 
-def object_(keys: list[str] | None, values: list[str] | None) -> str:
-    """Keys and the JSON texts of values; null keys are left out, and of equal keys the last one counts."""
-    return _dump({k: (None if v is None else _value(v)) for k, v in zip(keys or [], values or [], strict=True) if k is not None})
-
-
-def array_(values: list[str] | None) -> str:
-    return _dump([None if v is None else _value(v) for v in values or []])
-
-
-def first(text: str | None) -> str | None:
-    """The one element of a JSON array, as JSON; a string that itself is JSON of an object or array is taken as such."""
-    value = _load(text)
-    element = value[0] if isinstance(value, list) and value else None
-    if isinstance(element, str):
-        inner = _load(element)
-        element = inner if isinstance(inner, (dict, list)) else element
-    return _dump(element)
-
-
-def valid(text: str | None) -> str | None:
-    """The text if it is JSON, else NULL."""
-    return None if _load(text) is _NOTHING else text
-
-
 FUNCTIONS = {
-    "tarn_json_get": (get, "string"), "tarn_json_set": (set_, "string"), "tarn_json_insert": (insert, "string"), "tarn_json_delete": (delete, "string"), "tarn_json_minus": (minus, "string"),
-    "tarn_json_merge": (merge, "string"), "tarn_json_contains": (contains, "boolean"), "tarn_json_has": (has, "boolean"), "tarn_json_typeof": (typeof, "string"), "tarn_json_strip": (strip, "string"),
-    "tarn_json_pretty": (pretty, "string"), "tarn_json_object": (object_, "string"), "tarn_json_array": (array_, "string"), "tarn_json_first": (first, "string"), "tarn_json": (valid, "string"),
+    "tarn_json_get": (get, "string"), "tarn_json_set": (set_, "string"), "tarn_json_insert": (insert, "string"), "tarn_json_delete": (delete, "string"), "tarn_json_strip": (strip, "string"), "tarn_json_pretty": (pretty, "string"), "tarn_json_contains": (contains, "boolean"),
 }
 
 
+_KNOWN: set[str] = set()
+
+
 def register(spark: SparkSession) -> None:
-    for name, (function, kind) in FUNCTIONS.items():
-        spark.udf.register(name, F.udf(function, kind, useArrow=True))
+    """Once for each session."""
+    session = spark._jsparkSession.sessionUUID()
+    if session not in _KNOWN:
+        _KNOWN.add(session)
+        for name, (function, kind) in FUNCTIONS.items():
+            spark.udf.register(name, F.udf(function, kind, useArrow=True))

@@ -14,17 +14,17 @@ q("filter_not_like", "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%1%'")
 q("filter_like_escape", "SELECT n_name FROM nation WHERE n_name LIKE 'NATION!_1%' ESCAPE '!'")
 q("filter_ilike", "SELECT n_name FROM nation WHERE n_name ILIKE 'nation%2'")
 q("filter_not_ilike", "SELECT n_name FROM nation WHERE n_name NOT ILIKE '%1%'")
-q("filter_regex", "SELECT n_name FROM nation WHERE n_name RLIKE '_[12]$'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, '_[12]$')")
-q("filter_iregex", "SELECT n_name FROM nation WHERE n_name RLIKE '(?i)nation_1'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, 'nation_1', 'i')")
-q("filter_not_regex", "SELECT n_name FROM nation WHERE NOT n_name RLIKE '1'", "SELECT n_name FROM nation WHERE NOT regexp_matches(n_name, '1')")
+q("filter_regex", "SELECT n_name FROM nation WHERE n_name ~ '_[12]$'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, '_[12]$')")
+q("filter_iregex", "SELECT n_name FROM nation WHERE n_name ~* 'nation_1'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, 'nation_1', 'i')")
+q("filter_not_regex", "SELECT n_name FROM nation WHERE n_name !~ '1' AND n_name !~* 'n_2'", "SELECT n_name FROM nation WHERE NOT regexp_matches(n_name, '1') AND NOT regexp_matches(n_name, 'n_2', 'i')")
 q("filter_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'low' END AS band FROM orders")
 q("filter_simple_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders")
 q("filter_boolean", "SELECT c_custkey FROM customer WHERE (c_acctbal > 0) = TRUE")
 q("arithmetic_ops", "SELECT l_orderkey, l_linenumber, l_quantity / 4 AS d, l_quantity * 2 - 1 AS m, -l_tax AS neg FROM lineitem")
-q("division_real", "SELECT CAST(7 / 2 AS DOUBLE) AS d", "SELECT CAST(7 / 2 AS DOUBLE) AS d")
-q("concat_op", "SELECT n_name || '/' || CAST(n_regionkey AS STRING) AS s, n_name || NULL AS nothing FROM nation", "SELECT n_name || '/' || CAST(n_regionkey AS VARCHAR) AS s, CAST(n_name || NULL AS VARCHAR) AS nothing FROM nation")
-q("cast_ops", "SELECT try_cast('12' AS INT) AS i, try_cast('x' AS INT) AS bad, CAST(1 AS STRING) AS s, CAST('true' AS BOOLEAN) AS b, CAST('2024-02-03' AS DATE) AS d, CAST('1.5' AS DOUBLE) AS f", "SELECT try_cast('12' AS INT) AS i, try_cast('x' AS INT) AS bad, CAST(1 AS VARCHAR) AS s, CAST('true' AS BOOLEAN) AS b, CAST('2024-02-03' AS DATE) AS d, CAST('1.5' AS DOUBLE) AS f")
-q("array_literal", "SELECT array_join(array('a', 'b', 'c'), ',') AS s", "SELECT array_to_string(['a', 'b', 'c'], ',') AS s")
+q("division_real", "SELECT (7 / 2)::double precision AS d", "SELECT CAST(7 / 2 AS DOUBLE) AS d")
+q("concat_op", "SELECT n_name || '/' || n_regionkey::text AS s, n_name || NULL AS nothing FROM nation", "SELECT n_name || '/' || CAST(n_regionkey AS VARCHAR) AS s, CAST(n_name || NULL AS VARCHAR) AS nothing FROM nation")
+q("cast_ops", "SELECT '12'::int AS i, 'x'::int AS bad, 1::text AS s, CAST('true' AS boolean) AS b, '2024-02-03'::date AS d, '1.5'::float8 AS f", "SELECT try_cast('12' AS INT) AS i, try_cast('x' AS INT) AS bad, CAST(1 AS VARCHAR) AS s, CAST('true' AS BOOLEAN) AS b, CAST('2024-02-03' AS DATE) AS d, CAST('1.5' AS DOUBLE) AS f")
+q("array_literal", "SELECT array_to_string(ARRAY['a', 'b', 'c'], ',') AS s, (ARRAY[n_nationkey, n_regionkey])[2] AS second FROM nation", "SELECT array_to_string(['a', 'b', 'c'], ',') AS s, n_regionkey AS second FROM nation")
 q("in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 q("not_in_subquery", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 q("exists_corr", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 30)")

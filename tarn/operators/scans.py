@@ -12,11 +12,11 @@ q("computed_columns", "SELECT l_orderkey, l_linenumber, round(l_extendedprice *
 q("pk_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 500 AND o_totalprice > 0")
 q("pk_lookup_residual", "SELECT o_orderkey FROM orders WHERE o_orderkey = 500 AND o_orderstatus = 'none'")
 q("derived_table", "SELECT d.k AS k, d.total AS total FROM (SELECT o_custkey, round(sum(o_totalprice), 2) FROM orders GROUP BY o_custkey) AS d(k, total) WHERE d.total > 1000")
-q("values_rows", "SELECT col1 AS column1, col2 AS column2 FROM VALUES (1, 'a'), (2, 'b'), (3, NULL)", "SELECT column1, column2 FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(column1, column2)")
-q("select_without_from", "SELECT 1 AS one, 'x' AS x, CAST(NULL AS INT) AS nothing")
-q("unnest_source", "SELECT unnest FROM (SELECT explode(array(3, 1, 2)) AS unnest)", "SELECT unnest AS unnest FROM (SELECT unnest([3, 1, 2]) AS unnest)")
-q("unnest_ordinality", "SELECT pos + 1 AS ord, c FROM (SELECT posexplode(array('x', 'y', 'z')) AS (pos, c))", "SELECT CAST(ord AS INTEGER) AS ord, c FROM (SELECT unnest(['x', 'y', 'z']) AS c, generate_subscripts(['x', 'y', 'z'], 1) AS ord)")
-q("exists_empty_select_list", "SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-q("default_alias_names", "SELECT upper(n_name) AS upper, n_regionkey + 1 AS col FROM nation")
+q("values_rows", "VALUES (1, 'a'), (2, 'b'), (3, NULL)", "SELECT column1, column2 FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(column1, column2)")
+q("select_without_from", "SELECT 1 AS one, 'x' AS x, NULL::int AS nothing")
+q("unnest_source", "SELECT unnest FROM UNNEST(ARRAY[3, 1, 2])", "SELECT unnest AS unnest FROM (SELECT unnest([3, 1, 2]) AS unnest)")
+q("unnest_ordinality", "SELECT ord, c FROM UNNEST(ARRAY['x', 'y', 'z']) WITH ORDINALITY AS u(c, ord)", "SELECT CAST(ord AS INTEGER) AS ord, c FROM (SELECT unnest(['x', 'y', 'z']) AS c, generate_subscripts(['x', 'y', 'z'], 1) AS ord)")
+q("exists_empty_select_list", "SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT FROM orders o WHERE o.o_custkey = c.c_custkey)", "SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+q("default_alias_names", "SELECT upper(n_name), n_regionkey + 1, n_regionkey * 2, upper('x') FROM nation", "SELECT upper(n_name) AS upper, n_regionkey + 1 AS col, n_regionkey * 2 AS col1, 'X' AS upper1 FROM nation")
 q("scan_count", "SELECT count(*) AS n FROM lineitem")
 q("filtered_scan_count", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25")
