@@ -8,8 +8,9 @@ packed into a signature. Only pairs that share a band are looked at, and only so
    signatures (corrected for chance collisions); pairs that may reach the limit are confirmed on their full sets, for
    each document its most similar first one, then those whose ends are not connected yet.
 2. Buckets that still hold several components are gone through: members of the largest component are dealt out in blocks
-   and met by all others, so what is connected already is not compared with itself. Only links that join something leave
-   a task.
+   and met by all others, so what is connected already is not compared with itself. This is done with signatures first;
+   members without a pair that may reach the limit are left out, and the others come again with their full sets. Only
+   links that join something leave a task.
 
 A group of thousands of copies so gives thousands of pairs, not millions.
 """
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm._shared import LOWER, UPPER, components, discard, stored
@@ -33,6 +34,8 @@ HASHES = BANDS * ROWS
 MARGIN = 0.12
 #: Shingles in a block: a task holds two blocks, about 1 MB of sets.
 BLOCK_SHINGLES = 64_000
+#: Members of a bucket in a block where only signatures are compared.
+BLOCK_MEMBERS = 8_000
 #: Distinct words whose hash a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
@@ -180,53 +183,93 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _joining(limit_percent: int):
-    """(key, one, two, doc_id, component, large, sig, own), sorted by the first three -> links (a, b) that join components of a group."""
-    least = limit_percent / 100 - MARGIN
-
-    def links(group: pa.Table) -> list[tuple[int, int]]:
-        ids = group.column("doc_id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-        component, large = (group.column(n).to_numpy() for n in ("component", "large"))
-        across = group.column("two")[0].as_py() < 0
-        sizes = np.array([len(s) for s in sets])
-        parent = {c: c for c in component.tolist()}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        found = []
-        for i in range(len(ids) - 1):
-            rest = np.arange(i + 1, len(ids))
-            fits = component[rest] != component[i]
-            if across:
-                fits &= large[rest] != large[i]
-            low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            rest = rest[fits & (100 * low >= limit_percent * high)]
-            if not len(rest):
-                continue
+def _near(group: pa.Table, limit_percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a group, for each member the later ones of other components that may reach the limit, the most similar first, and the estimates.
+
+    Sorted by the size of the set, so that those of fitting sizes follow one another.
+    """
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(group.num_rows, -1)
+    component, large, sizes = (group.column(n).to_numpy() for n in ("component", "large", "n_shingles"))
+    across = group.column("two")[0].as_py() < 0
+    order = np.argsort(sizes, kind="stable")
+    last = np.searchsorted(sizes[order], 100 * sizes[order] // limit_percent, side="right")
+    for k, i in enumerate(order.tolist()):
+        rest = order[k + 1 : last[k]]
+        fits = component[rest] != component[i]
+        if across:
+            fits &= large[rest] != large[i]
+        rest = rest[fits]
+        if len(rest):
             e = estimates(sigs[i], sigs[rest])
-            for k in np.argsort(-e, kind="stable"):
-                if e[k] < least:
-                    break
-                a, b = root(int(component[i])), root(int(component[rest[k]]))
-                if a != b and _linked(sets[i], sets[rest[k]], limit_percent):
-                    parent[a] = b
-                    found.append((ids[i], ids[rest[k]]))
-        return found
+            close = np.flatnonzero(e >= limit_percent / 100 - MARGIN)
+            if len(close):
+                close = close[np.argsort(-e[close], kind="stable")]
+                yield i, rest[close], e[close]
+
+
+def _flagging(limit_percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, one, two, doc_id, rid, ...), sorted by the first three -> (key, doc_id, rid) of the members with a pair that may reach the limit."""
+        for group in _groups(batches, 3):
+            flagged = np.zeros(group.num_rows, bool)
+            for i, rest, _ in _near(group, limit_percent):
+                flagged[i] = True
+                flagged[rest] = True
+            for batch in group.select(["key", "doc_id", "rid"]).filter(pa.array(flagged)).to_batches():
+                yield batch
+
+    return run
+
 
+def _joining(limit_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, one, two, doc_id, ..., own), sorted by the first three -> links (a, b) that join components of a group."""
         for group in _groups(batches, 3):
-            found = links(group)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            ids, component = group.column("doc_id").to_pylist(), group.column("component").to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+            parent = {c: c for c in component}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            found = []
+            for i, rest, _ in _near(group, limit_percent):
+                for j in rest.tolist():
+                    a, b = root(component[i]), root(component[j])
+                    if a != b and _linked(sets[i], sets[j], limit_percent):
+                        parent[a] = b
+                        found.append((ids[i], ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _dealt(left: DataFrame, weight: Column, block: int) -> DataFrame:
+    """(key, doc_id, rid, n_shingles, sig, component) with the groups (one, two) in which members of a bucket meet.
+
+    Blocks have about `block` of the weight. The largest component of a bucket is in one group for each block of the
+    others, and those are in one for each of its blocks and for each pair of their own.
+    """
+    parts = left.groupBy("key", "component").agg(F.sum(weight).alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    parts = parts.select("key", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("n_large"), blocks(F.col("n") - F.col("top.n")).alias("n_small"))
+    at = left.join(parts, "key").withColumn("large", F.col("component") == F.col("top"))
+    at = at.withColumn("block", F.pmod(F.xxhash64("doc_id", "rid"), F.when(F.col("large"), F.col("n_large")).otherwise(F.col("n_small"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda one, two: F.struct(one.alias("one"), two.alias("two"))
+    of_large = F.transform(numbers("n_small"), lambda j: group(F.col("block"), -1 - j))
+    of_small = F.concat(F.transform(numbers("n_large"), lambda i: group(i, -1 - F.col("block"))), F.transform(numbers("n_small"), lambda j: group(F.least("block", j), F.greatest("block", j))))
+    return at.select("key", "doc_id", "rid", "n_shingles", "sig", "component", "large", F.explode(F.when(F.col("large"), of_large).otherwise(of_small)).alias("g")).select("key", "g.one", "g.two", "doc_id", "rid", "n_shingles", "sig", "component", "large")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id", "rid")
+
+
 def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs.
 
@@ -284,23 +327,13 @@ def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
     tagged = rooted(members.where("n > 2").select("key", *node), "doc_id", "component")
     mixed = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     left = stored(tagged.join(mixed, "key").join(reps.select(*node, "n_shingles", "sig"), node), "mixed")
+    discard(members, near, sets, apart)
     if not left.isEmpty():
-        parts = left.groupBy("key", "component").agg(F.sum("n_shingles").alias("n"))
-        parts = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-        blocks = lambda n: F.ceil(n / BLOCK_SHINGLES).cast("int")
-        parts = parts.select("key", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("n_large"), blocks(F.col("n") - F.col("top.n")).alias("n_small"))
-        dealt = left.join(parts, "key").withColumn("large", F.col("component") == F.col("top"))
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*node), F.when(F.col("large"), F.col("n_large")).otherwise(F.col("n_small"))).cast("int"))
-        numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        across = F.when(F.col("large"), F.transform(numbers("n_small"), lambda j: F.struct(F.col("block").alias("one"), (-1 - j).alias("two")))).otherwise(
-            F.transform(numbers("n_large"), lambda i: F.struct(i.alias("one"), (-1 - F.col("block")).alias("two")))
-        )
-        beside = F.when(~F.col("large"), F.transform(numbers("n_small"), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("two"))))
-        placed = dealt.select("key", *node, "component", "large", "sig", F.explode(F.concat(across, F.coalesce(beside, F.array().cast("array<struct<one:int,two:int>>")))).alias("g"))
-        sets = sets_of(left.select(*node))
-        full = placed.join(sets, node).select("key", "g.one", "g.two", "doc_id", "component", "large", "sig", "own")
-        grouped = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id")
-        links = links.union(stored(grouped.mapInArrow(_joining(limit_percent), "a long, b long"), "links"))
+        flagged = _gathered(_dealt(left, F.lit(1), BLOCK_MEMBERS)).mapInArrow(_flagging(limit_percent), "key long, doc_id long, rid long")
+        flagged = stored(flagged.distinct(), "flagged")
+        sets = sets_of(flagged.select(*node))
+        full = _dealt(left.join(flagged, ["key", *node]), F.col("n_shingles"), BLOCK_SHINGLES).join(sets, node).select("key", "one", "two", *node, "n_shingles", "sig", "component", "large", "own")
+        links = links.union(stored(_gathered(full).mapInArrow(_joining(limit_percent), "a long, b long"), "links"))
         found = roots(links)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "rep", "doc_id"))
     named = known.join(found, F.col("rep") == F.col("_node"), "left").select("doc_id", "n_shingles", component.alias("component_id"))
