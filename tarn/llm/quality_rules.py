@@ -137,14 +137,16 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk
     """doc_id, rid (hash of doc_id and text), stratum, the measures, base_failed, rejected_by_rule and kept, for each row of docs.
 
     Texts are read once; only measures are stored, joined to labels and judged. Ties and repeated rows each get their
-    own verdict; a doc_id with several labels counts once for each. Null text has no words and fails the base rule.
+    own verdict; a doc_id with several labels counts once for each, and of labelled copies of a text one. Null text has no words and fails the base rule.
     """
     column = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None)
-    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), column.cast("string").alias("stratum"), "text")
+    own = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64("text").alias("tid"), column.cast("string").alias("stratum"), "text")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measured = stored(measure(own).select("_row.doc_id", "_row.rid", "_row.stratum", *counts, *GRID), "measures")
+    measured = stored(measure(own).select("_row.doc_id", "_row.rid", "_row.tid", "_row.stratum", *counts, *GRID), "measures")
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    limits = cutoffs(measured.join(marks, "doc_id"), risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
+    # Copies of one text are one trial, not several.
+    trials = measured.join(marks, "doc_id").dropDuplicates(["stratum", "quality", "tid"])
+    limits = cutoffs(trials, risk).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     limits = stored(limits, "cutoffs")
     if limits.count() <= BROADCAST_STRATA:
         limits = F.broadcast(limits)
@@ -153,7 +155,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk
     for rule in GRID:
         over = over | F.coalesce(F.col(rule) > F.col("limits")[rule], F.lit(False))
     joined = joined.withColumn("base_failed", base_failed()).withColumn("rejected_by_rule", over)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected_by_rule")).drop("limits", "_of")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected_by_rule")).drop("limits", "_of", "tid")
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:

@@ -388,6 +388,26 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(exact, rel=1e-9)
 
 
+def test_quality_counts_copies_of_a_labelled_text_once(spark):
+    """A cutoff that a hundred copies of one good text seem to bear out is not certified."""
+    rng = random.Random(71)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    same = prose()
+    bad = [(10_000 + i, " ".join([prose(), "## " * 40]), 0) for i in range(60)]
+    few = [(i, same, 1) for i in range(600)]
+    many = [(i, prose(), 1) for i in range(600)]
+    for good, rejects in ((few, False), (many, True)):
+        docs = spark.createDataFrame([(i, t, "en") for i, t, _ in good + bad], "doc_id long, text string, lang string")
+        labels = spark.createDataFrame([(i, q) for i, _, q in good + bad], "doc_id long, quality int")
+        assert quality_rules.judge(docs, labels).where("rejected_by_rule").count() == 60 * rejects
+
+
+def test_quality_of_a_long_text(spark, labels):
+    text = "word other\n" * 120_000
+    r = quality_rules.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), labels).first()
+    assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"], r["kept"]) == (240_000, 1_080_000, 119_999, 240_000, False)
+
+
 def test_quality_of_nothing(none, docs, labels):
     assert rows(quality_rules.judge(none, labels)) == []
     assert quality_rules.judge(docs, labels.limit(0)).where("rejected_by_rule").count() == 0
