@@ -433,9 +433,12 @@ class Database:
         table = self._table(made["table"], catalog)
         alias = quote_name(made["alias"] or made["table"].split(".")[-1])
         frames = self._frames(parser.used, catalog) | {"rows__": self.store.read(table, places=True)}
-        source = f" JOIN {made['from']} ON {made['where']}" if made["from"] else f" WHERE {made['where']}"
-        ids = self._run(f"SELECT DISTINCT {alias}.`__file`, {alias}.`__row` FROM {{rows__}} AS {alias}{source}", frames)
-        gone = self._stored(frames["rows__"].join(ids, ["__file", "__row"], "left_semi"))
+        if made["from"]:
+            ids = self._run(f"SELECT DISTINCT {alias}.`__file`, {alias}.`__row` FROM {{rows__}} AS {alias} JOIN {made['from']} ON {made['where']}", frames)
+            gone = frames["rows__"].join(ids, ["__file", "__row"], "left_semi")
+        else:
+            gone = self._run(f"SELECT * FROM {{rows__}} AS {alias} WHERE {made['where']}", frames)
+        gone = self._stored(gone)
         self._without(gone, table, db)
         gone = gone.select(*[quote_name(c["name"]) for c in table["columns"]])
         self._changed(gone, table, catalog, db, "on_delete")
