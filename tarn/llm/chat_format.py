@@ -169,6 +169,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state is None or conv_id != conversation:
                 rows += closed()
                 conversation, state = conv_id, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "rewrites": 0}
+            if rewrites:
+                raise ValueError(f"the template rewrites turns of conversation {conv_id}: its pieces are whole outputs, which can't be read one after the other")
             for role, text in read_tagged(piece):
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -183,5 +185,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """Per conversation what is read back from pieces of the template tagged(); keeps to the order of render()."""
+    """Per conversation what is read back from pieces of the template tagged(); keeps to the order of render().
+
+    Pieces of a template that has rewritten history are refused, as they overlap.
+    """
     return rendered.mapInArrow(_digest, _DIGEST)

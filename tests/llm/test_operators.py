@@ -172,6 +172,32 @@ def test_chat_of_a_template_that_rewrites_late(spark):
     assert [r["piece"] for r in found] == pieces and found[-1]["rewrites"] == 50
 
 
+def test_chat_of_a_long_text_and_of_rewritten_pieces(spark):
+    long = "<turn [x]> \\\\" * 150_000
+    rows_ = [(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "assistant", None)]
+    turns = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string")
+    r = chat_format.digests(chat_format.render(turns)).first()
+    assert len(long) > 1_000_000 and (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (3, len(long), hashlib.sha256(long.encode()).hexdigest())
+    rewriting = lambda turns: f"{len(turns)}" + chat_format.tagged(turns)
+    with pytest.raises(Exception, match="rewrites turns"):
+        chat_format.digests(chat_format.render(turns, rewriting)).collect()
+
+
+def test_long_texts_of_licenses_benchmarks_and_scores(spark):
+    rng = random.Random(81)
+    words = [f"w{rng.randint(0, 4000)}" for _ in range(220_000)]
+    item = [f"i{k}" for k in range(30)]
+    notice = license_scan.TEXTS["bsd"][0].split()
+    text = " ".join([*words[:110_000], *item, *notice, *words[110_000:], "CC BY-NC"])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(words[:40]))], "doc_id long, text string")
+    assert len(text) > 1_000_000
+    found = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert (found[1]["labels"], found[1]["base_labels"], found[1]["first_word"], found[2]["labels"]) == ("bsd,cc-by-nc", "cc-by-nc", 220_000 + 30 + len(notice), "")
+    leaks = decontaminate.leaks(docs, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["lcs"]) for r in leaks] == [(1, 9, 30)]
+    assert classifier.classify(docs, spark.createDataFrame([(2, 1)], "doc_id long, quality int")).count() == 2
+
+
 def test_chat_of_nothing(spark):
     assert rows(chat_format.digests(chat_format.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))) == []
 
