@@ -35,7 +35,6 @@ REMEMBERED = 1_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A token never spans a place between a character that is no space and a single space before another such character.
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
-_PLAIN = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 def _ranks(spec: dict) -> dict[bytes, int] | None:
@@ -65,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         spec = json.loads(Path(path).read_text("utf-8"))
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         ranks = _ranks(spec)
@@ -74,6 +73,7 @@ class Encoder:
             import tiktoken
 
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.known.fast = self.fast
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = {k: array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for k, t in enumerate(texts) if any(a in t for a in self.added)}
@@ -84,23 +84,12 @@ class Encoder:
         return found
 
     def _of_words(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            if not text:
-                cut.append([])
-            elif _PLAIN.search(text):
-                cut.append(_BETWEEN.split(text))
-            else:
-                first, *rest = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _BETWEEN.split(text)
-                cut.append([first, *rest])
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list(set().union(*cut) - known.keys())
-        if self.fast:
-            for word in new:
-                known[word] = array("I", self.fast(word)).tobytes()
-        else:
+        cut = [_parts(text) for text in texts]
+        if not self.fast:
+            new = list(set().union(*cut) - known.keys())
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
@@ -108,6 +97,27 @@ class Encoder:
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
+class _Known(dict):
+    """Ids of words; those not met before go through the rank tables."""
+
+    fast = None
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = array("I", self.fast(word)).tobytes()
+        return ids
+
+
+def _parts(text: str) -> list[str]:
+    """A text cut where no token goes across."""
+    if not text:
+        return []
+    words = text.split()
+    if "\0" in text or sum(map(len, words)) + len(words) - 1 != len(text):
+        return _BETWEEN.split(text)
+    # Every space stands alone between two words, and a token that begins with one begins there.
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
