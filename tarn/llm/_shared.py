@@ -24,8 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-#: Setting: shuffle files of a write go when it has ended, since its rows are read from the files written.
-_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: shuffle files go when it has ended, since its rows are read from the files written; and so many folders are filled at once, without sorting rows by folder.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "16"}
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _LEFT: dict[str, SparkSession] = {}
 
@@ -45,15 +45,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tarn/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, path: str, by: str | None = None) -> None:
+def save(df: DataFrame, path: str, by: str | None = None, codec: str = "zstd") -> None:
     """Writes Parquet, in a folder for each value of `by`; shuffle files behind it go at once."""
     spark = configure(df.sparkSession)
-    before = spark.conf.get(_FILES_GO, "false")
-    spark.conf.set(_FILES_GO, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
     try:
-        df.write.option("compression", "zstd").partitionBy(*[by] * bool(by)).parquet(path)
+        df.write.option("compression", codec).partitionBy(*[by] * bool(by)).parquet(path)
     finally:
-        spark.conf.set(_FILES_GO, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -78,7 +80,7 @@ def sliced(df: DataFrame, name: str, key: Column, n: int) -> list[DataFrame]:
     """The rows as stored() keeps them, in n frames by the key: what is joined slice by slice has only a slice in shuffle files."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    save(df.withColumn("_slice", F.pmod(key, F.lit(n)).cast("int")), path, "_slice")
+    save(df.withColumn("_slice", F.pmod(key, F.lit(n)).cast("int")), path, "_slice", "snappy")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for k in range(n):  # a slice without rows has no folder yet

@@ -257,14 +257,13 @@ def cut(docs: DataFrame) -> DataFrame:
     # 1. Segments.
     late = F.coalesce(F.col("doc_id") > F.col("lo"), F.lit(False))
     gone, parts = [], []
-    zipped = F.explode(F.arrays_zip("ptrs", "starts", "spans")).alias("p")
     for segments in sliced(real.select(*key, "text").mapInArrow(_segments, _SEGMENTS), "segments", F.col("seg_a"), SLICES):
         lows = stored(of_two(segments, "seg_a", "seg_b"), "segment-lows")
         whole = segments.join(lows, ["seg_a", "seg_b"]).where(late)
         gone.append(stored(whole.select(*key, span(F.col("start"), F.col("size")).alias("gone")), "whole-segments"))
-        first = segments.join(lows, ["seg_a", "seg_b"], "left").where(~late).select(*key, zipped)
-        run = F.col("p.starts").cast("long") * (_SIX * _SIX) + F.col("p.spans")
-        parts.append(sliced(first.select(F.col("p.ptrs").alias("ptr"), run.alias("run"), *key), "pointers", F.col("ptr"), SLICES))
+        first = segments.join(lows, ["seg_a", "seg_b"], "left").where(~late).select(*key, "starts", "spans", F.posexplode("ptrs").alias("i", "ptr"))
+        run = F.get("starts", F.col("i")).cast("long") * (_SIX * _SIX) + F.get("spans", F.col("i"))
+        parts.append(sliced(first.select("ptr", run.alias("run"), *key), "pointers", F.col("ptr"), SLICES))
         discard(segments, lows)
     # 2. q-gram buckets.
     found = []
