@@ -266,6 +266,19 @@ def _dealt(left: DataFrame, weight: Column, block: int) -> DataFrame:
     return at.select("key", "doc_id", "rid", "n_shingles", "sig", "component", "large", F.explode(F.when(F.col("large"), of_large).otherwise(of_small)).alias("g")).select("key", "g.one", "g.two", "doc_id", "rid", "n_shingles", "sig", "component", "large")
 
 
+def _merged(flagged: DataFrame) -> DataFrame:
+    """(key, doc_id, rid) with buckets of the same few documents made one, so that a member is not sent once for each bucket.
+
+    The name of a bucket becomes the first document that any of its members has met in some bucket; members of a bucket
+    keep together under its new name.
+    """
+    node = ["doc_id", "rid"]
+    first = flagged.groupBy("key").agg(F.min(F.struct(*node)).alias("first"))
+    met = flagged.join(first, "key").groupBy(*node).agg(F.min("first").alias("met"))
+    named = flagged.join(met, node).groupBy("key").agg(F.min("met").alias("name"))
+    return flagged.join(named, "key").select(F.xxhash64("name").alias("key"), *node).distinct()
+
+
 def _gathered(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "doc_id", "rid")
 
@@ -332,7 +345,8 @@ def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
         flagged = _gathered(_dealt(left, F.lit(1), BLOCK_MEMBERS)).mapInArrow(_flagging(limit_percent), "key long, doc_id long, rid long")
         flagged = stored(flagged.distinct(), "flagged")
         sets = sets_of(flagged.select(*node))
-        full = _dealt(left.join(flagged, ["key", *node]), F.col("n_shingles"), BLOCK_SHINGLES).join(sets, node).select("key", "one", "two", *node, "n_shingles", "sig", "component", "large", "own")
+        of_nodes = left.dropDuplicates(node).select(*node, "n_shingles", "sig", "component")
+        full = _dealt(_merged(flagged).join(of_nodes, node), F.col("n_shingles"), BLOCK_SHINGLES).join(sets, node).select("key", "one", "two", *node, "n_shingles", "sig", "component", "large", "own")
         links = links.union(stored(_gathered(full).mapInArrow(_joining(limit_percent), "a long, b long"), "links"))
         found = roots(links)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "rep", "doc_id"))
