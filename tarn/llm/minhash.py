@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, limit_percent: int = 85) -> DataFrame:
     texts = _texts(docs)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return stored(texts.join(nodes.distinct(), node).dropDuplicates(node).mapInArrow(_sets, "doc_id long, rid long, own binary"), "sets")
+        # The nodes grow with the corpus, so they are never broadcast, and texts are dealt alike at every size.
+        return stored(texts.join(nodes.distinct().hint("merge"), node).dropDuplicates(node).mapInArrow(_sets, "doc_id long, rid long, own binary"), "sets")
 
     # Repeated rows of one text are one node, so dropDuplicates on nodes leaves one text for each.
     of = lambda end: near.select(F.col(end).alias("doc_id"), F.col(f"{end}_rid").alias("rid"))
