@@ -227,6 +227,12 @@ def _holds(v: str, wanted: object, depth: int) -> str:
 #: Stands behind each aggregate of a call, where FILTER belongs.
 FILTER = "\2"
 
+
+def joined(listed: str, separator: str) -> str:
+    """What string_agg gives: the values without nulls, NULL where there are none."""
+    return f"array_join(nullif(array_compact({listed}), array()), {separator})"
+
+
 CALLS: dict[str, Callable[[list[str]], str]] = {
     "substring": _substring, "substr": _substring, "left": _left, "right": _right, "split_part": _split_part,
     "concat": lambda a: f"concat_ws('', {', '.join(a)})",
@@ -240,7 +246,7 @@ CALLS: dict[str, Callable[[list[str]], str]] = {
     "date_trunc": lambda a: f"CAST(date_trunc({a[0]}, CAST({a[1]} AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)",
     "age": _age, "to_char": _to_char,
     "array_agg": lambda a: f"transform(collect_list(struct({a[0]} AS x)){FILTER}, s -> s.x)",
-    "string_agg": lambda a: f"array_join(collect_list({a[0]}){FILTER}, {a[1]})",
+    "string_agg": lambda a: joined(f"collect_list({a[0]}){FILTER}", a[1]),
     "json_agg": lambda a: JSON + f"to_json(transform(collect_list(struct({a[0]} AS x)){FILTER}, s -> s.x), map('ignoreNullFields', 'false'))",
     "array_to_string": lambda a: f"array_join({', '.join(a)})", "string_to_array": lambda a: f"split({a[0]}, concat('\\\\Q', {a[1]}, '\\\\E'))",
     "json_object_agg": lambda a: json(f"to_json(map_from_entries(filter(collect_list(struct(CAST({a[0]} AS STRING) AS k, {variant_of(a[1])} AS v)){FILTER}, e -> e.k IS NOT NULL)), {_NULLS})"),
@@ -261,4 +267,4 @@ def call(name: str, args: list[str]) -> str:
     return CALLS[lower](args) if lower in CALLS else f"{lower}({', '.join(args)})"
 
 
-__all__ = ["CALLS", "FILTER", "call", "date_part", "is_json", "json", "json_concat", "json_contains", "json_get", "json_has", "json_minus", "json_text", "json_valid"]
+__all__ = ["CALLS", "FILTER", "call", "date_part", "is_json", "joined", "json", "json_concat", "json_contains", "json_get", "json_has", "json_minus", "json_text", "json_valid"]

@@ -61,6 +61,15 @@ def test_filter_reaches_every_aggregate(db):
         db.query("SELECT concat(kind, 'x') FILTER (WHERE tons > 1) FROM loads")
 
 
+def test_string_agg_of_no_value_is_null(db):
+    ordered = "STRING_AGG(kind, ',' ORDER BY tons) FILTER (WHERE tons > 20)"
+    assert set(rows(db, f"SELECT kind, {ordered}, STRING_AGG(kind, ',') FILTER (WHERE tons > 30) FROM loads GROUP BY kind")) == {("ore", "ore", "ore"), ("grain", "grain", None)}
+    assert rows(db, f"SELECT {ordered}, STRING_AGG(kind, ',') FROM loads WHERE tons < 0") == [(None, None)]
+    nulls = "(VALUES (1, NULL), (2, NULL), (3, ''), (4, 'a'), (4, NULL)) AS t(k, x)"
+    assert rows(db, f"SELECT k, STRING_AGG(x, '-'), STRING_AGG(x, '-' ORDER BY x), STRING_AGG(DISTINCT x, '-' ORDER BY x) FROM {nulls} GROUP BY k ORDER BY k") == [(1, None, None, None), (2, None, None, None), (3, "", "", ""), (4, "a", "a", "a")]
+    assert rows(db, "SELECT STRING_AGG(tons, '+' ORDER BY tons) FROM loads") == [("8+9+15+22+40",)]
+
+
 def test_columns_beside_groups(db):
     assert set(rows(db, "SELECT s.id, s.name, upper(s.name), COUNT(c.id), (SELECT COUNT(*) FROM calls x WHERE x.ship = s.id) FROM ships s LEFT JOIN calls c ON c.ship = s.id GROUP BY s.id HAVING COUNT(c.id) > 0")) == {(1, "Heron", "HERON", 2, 2), (2, "Osprey", "OSPREY", 1, 1)}
     assert sorted(rows(db, "SELECT tons % 2, count(*), max(tons) - min(tons) FROM loads GROUP BY tons % 2")) == [(0, 3, 32), (1, 2, 6)]
