@@ -158,6 +158,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     conversation, state = object(), None
 
     def closed() -> list[tuple]:
+        if state and state["unread"]:
+            raise state["unread"]
         return [] if state is None else [(conversation, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["rewrites"])]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,10 +170,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv_id, piece, start, loss_start, loss_end, rewrites in zip(*[batch.column(n).to_pylist() for n in ("conv_id", "piece", "start", "loss_start", "loss_end", "rewrites")], strict=True):
             if state is None or conv_id != conversation:
                 rows += closed()
-                conversation, state = conv_id, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "rewrites": 0}
+                conversation, state = conv_id, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "rewrites": 0, "unread": None}
             if rewrites:
                 raise ValueError(f"the template rewrites turns of conversation {conv_id}: its pieces are whole outputs, which can't be read one after the other")
-            for role, text in read_tagged(piece):
+            try:
+                read = read_tagged(piece)
+            except ValueError as error:  # raised when the conversation ends, as a later turn may show that the template rewrites
+                read, state["unread"] = [], state["unread"] or error
+            for role, text in read:
                 state["n"] += 1
                 state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
             if loss_start is not None:
@@ -187,6 +193,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(rendered: DataFrame) -> DataFrame:
     """Per conversation what is read back from pieces of the template tagged(); keeps to the order of render().
 
-    Pieces of a template that has rewritten history are refused, as they overlap.
+    Pieces of a template that has rewritten history are refused, as they overlap; so are pieces that can't be read.
     """
     return rendered.mapInArrow(_digest, _DIGEST)

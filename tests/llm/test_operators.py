@@ -183,6 +183,15 @@ def test_chat_of_a_long_text_and_of_rewritten_pieces(spark):
         chat_format.digests(chat_format.render(turns, rewriting)).collect()
 
 
+def test_chat_of_unread_pieces(spark):
+    turns = spark.createDataFrame([(c, k, "user", "q") for c in (1, 2) for k in range(3)], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="no turn at character 0"):
+        chat_format.digests(chat_format.render(turns, lambda turns: "x" + chat_format.tagged(turns))).collect()
+    late = lambda turns: ("1" if len(turns) < 3 else "3") + chat_format.tagged(turns)
+    with pytest.raises(Exception, match="rewrites turns of conversation"):
+        chat_format.digests(chat_format.render(turns, late)).collect()
+
+
 def test_long_texts_of_licenses_benchmarks_and_scores(spark):
     rng = random.Random(81)
     words = [f"w{rng.randint(0, 4000)}" for _ in range(220_000)]
