@@ -259,9 +259,11 @@ def cut(docs: DataFrame) -> DataFrame:
     gone, parts = [], []
     for segments in sliced(real.select(*key, "text").mapInArrow(_segments, _SEGMENTS), "segments", F.col("seg_a"), SLICES):
         lows = stored(of_two(segments, "seg_a", "seg_b"), "segment-lows")
-        whole = segments.join(lows, ["seg_a", "seg_b"]).where(late)
+        # They grow with the corpus, so they are never broadcast, and segments are dealt alike at every size.
+        dealt = lows.hint("shuffle_hash")
+        whole = segments.join(dealt, ["seg_a", "seg_b"]).where(late)
         gone.append(stored(whole.select(*key, span(F.col("start"), F.col("size")).alias("gone")), "whole-segments"))
-        first = segments.join(lows, ["seg_a", "seg_b"], "left").where(~late).select(*key, "starts", "spans", F.posexplode("ptrs").alias("i", "ptr"))
+        first = segments.join(dealt, ["seg_a", "seg_b"], "left").where(~late).select(*key, "starts", "spans", F.posexplode("ptrs").alias("i", "ptr"))
         run = F.get("starts", F.col("i")).cast("long") * (_SIX * _SIX) + F.get("spans", F.col("i"))
         parts.append(sliced(first.select("ptr", run.alias("run"), *key), "pointers", F.col("ptr"), SLICES))
         discard(segments, lows)

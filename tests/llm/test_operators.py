@@ -734,6 +734,26 @@ def test_suffix_dedup_of_rows_that_share_an_id_and_of_long_texts(spark):
     assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == listed(brute_cut(texts))
 
 
+def test_suffix_dedup_deals_segments_alike_at_every_size(spark, monkeypatch):
+    plans = {}
+
+    def noted(make):
+        def made(df, name, *more):
+            plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+            return make(df, name, *more)
+
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "stored", noted(suffix_dedup.stored))
+    monkeypatch.setattr(suffix_dedup, "sliced", noted(suffix_dedup.sliced))
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(80)) for _ in range(6)]
+    docs = [(k, texts[k % 6] + f" {k}") for k in range(12)]
+    found = suffix_dedup.cut(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("doc_id", "n_bytes", "n_removed", "size(starts) n_spans", "kept_sha256")
+    assert by_id(found, "n_bytes", "n_removed", "n_spans", "kept_sha256") == listed(brute_cut(docs))
+    assert all("ShuffledHashJoin" in plans[n] and "Broadcast" not in plans[n] for n in ("whole-segments", "pointers"))
+
+
 def test_suffix_dedup_of_nothing(none):
     assert rows(suffix_dedup.cut(none)) == []
 
