@@ -275,6 +275,32 @@ def test_definitions(db):
     assert rows(db, "SELECT count(*) FROM d") == [(2,)]
 
 
+@pytest.mark.parametrize("ending", ["", " ON CONFLICT DO NOTHING"])
+def test_rows_lie_in_the_order_of_the_insert(spark, tmp_path, ending):
+    """Also where it fills several files, which Spark reads by size; UPDATE ... FROM takes the first match."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "9000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        db = Database(spark, f"file://{tmp_path}")
+        # Later rows take more room, so later files are longer.
+        db.attach("made", spark.range(4000).selectExpr("id AS k", "id % 3 AS owner", "repeat(sha2(CAST(id AS STRING), 256), CAST(id DIV 1000 AS INT)) AS text"))
+        db.exec("CREATE TABLE n(id BIGINT, first BIGINT); INSERT INTO n VALUES (0, NULL), (1, NULL), (2, NULL); CREATE TABLE c(k BIGINT PRIMARY KEY, owner BIGINT, text TEXT)")
+        db.exec(f"INSERT INTO c SELECT k, owner, text FROM made ORDER BY k{ending}")
+        parts = db.store.load("main")["tables"]["c"]["parts"]
+        assert len(parts) > 1
+        assert [r["k"] for p in parts for r in spark.read.parquet(p).collect()] == list(range(4000))
+        db.exec("UPDATE n SET first = c.k FROM c WHERE c.owner = n.id")
+        assert rows(db, "SELECT id, first FROM n ORDER BY id") == [(0, 0), (1, 1), (2, 2)]
+        db.exec("DELETE FROM c WHERE k < 30 OR k % 7 = 0")
+        db.exec("UPDATE n SET first = c.k FROM c WHERE c.owner = n.id")
+        assert rows(db, "SELECT id, first FROM n ORDER BY id") == [(0, 30), (1, 31), (2, 32)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_second_connection_sees_everything(db, spark):
     assert rows(Database(spark, db.store.root), "SELECT count(*) FROM ships") == [(3,)]
 
