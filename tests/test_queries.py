@@ -41,6 +41,15 @@ def test_query_equals_oracle(spark, duck, name):
     assert listed([tuple(r) for r in found.collect()], found.columns) == listed(expected.fetchall(), names)
 
 
+@pytest.mark.parametrize("name", ["external_sort"])
+def test_query_equals_oracle_where_rows_are_dealt_by_range(spark, duck, monkeypatch, name):
+    from tarn.plans import ranges
+
+    monkeypatch.setattr(ranges, "MOST", 4)
+    monkeypatch.setattr(ranges, "tasks", lambda df, total: 7)
+    test_query_equals_oracle(spark, duck, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
