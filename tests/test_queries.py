@@ -41,7 +41,7 @@ def test_query_equals_oracle(spark, duck, name):
     assert listed([tuple(r) for r in found.collect()], found.columns) == listed(expected.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", ["external_sort"])
+@pytest.mark.parametrize("name", ["row_number", "rank_window", "dense_rank_window", "window_multi_partition", "window_nulls", "window_over_agg", "external_sort"])
 def test_query_equals_oracle_where_rows_are_dealt_by_range(spark, duck, monkeypatch, name):
     from tarn.plans import ranges
 
