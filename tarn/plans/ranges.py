@@ -30,8 +30,10 @@ def sorting(order: list[Key]) -> list[Column]:
 
 
 def tasks(df: DataFrame, total: int) -> int:
-    """Tasks for so many rows, so that each gets about half of MOST; they do not depend on the session's number alone."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // MOST))
+    """Tasks for so many rows: half of MOST each, or up to 4 * MOST while that spares those that deal them from sorting by target."""
+    spark = df.sparkSession
+    unsorted = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-2 * total // MOST), unsorted), -(-total // (4 * MOST)))
 
 
 def largest(df: DataFrame, keys: list[str]) -> int:
